@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
@@ -83,3 +84,12 @@ def prefix_hash(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarra
     c = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=c[1:])
     return c, down
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, name: str = "side") -> DataFrame:
+    """big joined with small, which is written and counted first: broadcast if it is proven to stay under
+    BROADCAST_BYTES, else the shuffled join that AQE can split by skew."""
+    small = written(small, name)
+    if small.count() * row_bytes <= BROADCAST_BYTES:
+        small = F.broadcast(small)
+    return big.join(small, on, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import sharding
+from strideway.llm import chat, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,24 @@ def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(sharding.measured(table(spark, sf_dir, "documents")))
 
 
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages"))
+
+
+def op5_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_feistel_sharding": op8_feistel_sharding}
+    return {
+        "op2_warc_normaliser": op2_warc_normaliser,
+        "op5_chat_segments": op5_chat_segments,
+        "op8_feistel_sharding": op8_feistel_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc_normaliser": warc.ORACLE,
+        "op5_chat_segments": chat.oracle(),
+    }
