@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import chat, sharding, warc
+from strideway.llm import chat, jpeg, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages"))
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(jpeg.stored(table(spark, sf_dir, "documents")))
+
+
 def op5_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -28,6 +32,7 @@ def op5_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc_normaliser": op2_warc_normaliser,
+        "op3_jpeg_media": op3_jpeg_media,
         "op5_chat_segments": op5_chat_segments,
         "op8_feistel_sharding": op8_feistel_sharding,
     }
