@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -86,10 +86,11 @@ def prefix_hash(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarra
     return c, down
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int, name: str = "side") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int | Column, name: str = "side") -> DataFrame:
     """big joined with small, which is written and counted first: broadcast if it is proven to stay under
     BROADCAST_BYTES, else the shuffled join that AQE can split by skew."""
     small = written(small, name)
-    if small.count() * row_bytes <= BROADCAST_BYTES:
+    size = small.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import chat, jpeg, sharding, warc
+from strideway.llm import chat, html_wrapper, jpeg, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,17 @@ def op5_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_warc_normaliser": op2_warc_normaliser,
         "op3_jpeg_media": op3_jpeg_media,
         "op5_chat_segments": op5_chat_segments,
         "op8_feistel_sharding": op8_feistel_sharding,
+        "op10_wrapper_induction": op10_wrapper_induction,
     }
 
 
