@@ -34,7 +34,7 @@ EXHAUSTIVE = 5
 STEPS = 60
 CHUNK = 1 << 20
 #: Least difference of the decoding losses (per bit weight) of the two nearest codewords.
-AMBIGUOUS = 0.1
+AMBIGUOUS = 0.5
 UND = "und"
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
@@ -185,7 +185,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Ecoc:
         w, b = nw, nb
     f = x @ w + b
     right = (weight[:, None] * (f * target > 0)).sum(0)
-    spread = np.float32(6) / (np.abs(f).mean(0) + np.float32(1e-6))  # margins of a size that the loss can tell apart
+    spread = np.float32(2) / (np.abs(f).mean(0) + np.float32(1e-6))  # margins of a size that the loss can tell apart
     weights = (w * scale[:, None]) * spread
     bias = (b - (mean * scale) @ w) * spread
     alpha = np.clip(2 * right - 1, 0.01, 1).astype(np.float64)

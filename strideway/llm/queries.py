@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import chat, html_wrapper, jpeg, langid, sharding, warc
+from strideway.llm import chat, html_wrapper, jpeg, langid, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op6_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(sharding.measured(table(spark, sf_dir, "documents")))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jpeg_media": op3_jpeg_media,
         "op5_chat_segments": op5_chat_segments,
         "op6_ecoc_language_id": op6_ecoc_language_id,
+        "op7_repeated_spans": op7_repeated_spans,
         "op8_feistel_sharding": op8_feistel_sharding,
         "op10_wrapper_induction": op10_wrapper_induction,
     }
