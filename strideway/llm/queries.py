@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import chat, html_wrapper, jpeg, langid, repeats, sharding, warc
+from strideway.llm import chat, html_wrapper, jpeg, langid, neardup, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(sharding.measured(table(spark, sf_dir, "documents")))
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_prob_minhash": op1_prob_minhash,
         "op2_warc_normaliser": op2_warc_normaliser,
         "op3_jpeg_media": op3_jpeg_media,
         "op5_chat_segments": op5_chat_segments,
