@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import chat, html_wrapper, jpeg, langid, neardup, repeats, sharding, warc
+from strideway.llm import chat, decontaminate, html_wrapper, jpeg, langid, neardup, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.stored(table(spark, sf_dir, "documents")))
 
 
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_prob_minhash": op1_prob_minhash,
         "op2_warc_normaliser": op2_warc_normaliser,
         "op3_jpeg_media": op3_jpeg_media,
+        "op4_cgk_decontamination": op4_cgk_decontamination,
         "op5_chat_segments": op5_chat_segments,
         "op6_ecoc_language_id": op6_ecoc_language_id,
         "op7_repeated_spans": op7_repeated_spans,
@@ -61,5 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_normaliser": warc.ORACLE,
+        "op4_cgk_decontamination": op4_cgk_decontamination,
         "op5_chat_segments": chat.oracle(),
     }
