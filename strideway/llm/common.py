@@ -36,7 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing will read again."""
+    fs, at = local_fs(table.written_to)
+    fs.delete_dir(at)
 
 
 def local_fs(uri: str):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import chat, decontaminate, html_wrapper, jpeg, langid, neardup, repeats, sharding, warc
+from strideway.llm import chat, decontaminate, html_wrapper, jpeg, langid, mixing, neardup, repeats, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_chat_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ecoc_language_id": op6_ecoc_language_id,
         "op7_repeated_spans": op7_repeated_spans,
         "op8_feistel_sharding": op8_feistel_sharding,
+        "op9_soft_mixing": op9_soft_mixing,
         "op10_wrapper_induction": op10_wrapper_induction,
     }
 
