@@ -3,19 +3,20 @@
 Two positions belong together when the DEPTH bytes that start there are equal; the sort orders suffixes only so deep. A
 digit is a stretch of those bytes, a pass splits the groups by one more digit, and a group of one drops out:
 
-1. First digit: the window's anchor, the least (by a hash) of its GRAM-byte strings, with its offset in the window. It is a function
-   of the window's bytes, so equal windows have equal anchors at equal offsets. Neighbouring windows share theirs: a run of windows
-   is one row, some 140 times fewer rows than suffixes.
-2. Second digit: all bytes of a run. Equal runs are equal windows throughout, so their groups are finished; most
-   repeats end here, with one row a run.
-3. Last digit: for runs that share an anchor but not all bytes, each window through its full depth, by a fingerprint of another base.
-
-Digits are compared by 64-bit hashes beside the anchor's own 64 bits. After the last pass the groups of two or more are exactly the repeated
-windows; their bytes are merged into maximal removed runs. Overlapping windows of one document count as repeats of each other, and all is judged on the input.
-
-Scale: passes are group counts combined on the map side and joins back with the few groups that repeat (broadcast only if measured to be small). No group is
+1. First digit: the window's anchor, the least (by a hash) of its GRAM-byte strings. It is a function of the window's bytes, so equal windows have
+   equal anchors at equal offsets. Neighbouring windows share theirs: a run of windows is one row, some 140 times fewer rows than suffixes.
+   Runs that are equal in all their bytes are equal windows throughout: their group is finished, with one row a run.
+2. Second digit, for runs that share an anchor and not all bytes: a run is cut into buckets of WIDTH offsets; the digit is the
+   DEPTH - WIDTH + 1 bytes that all windows of a bucket contain. Equal buckets are finished like equal runs.
+3. Last digit, for what is left: each window through its full depth.
+
+Digits are compared by 64-bit hashes of two bases, each pass within the groups of the one before. After the last pass the groups of two or more are
+exactly the repeated windows; their bytes are merged into maximal removed runs. Overlapping windows of one document count as repeats of each other, and all
+is judged on the input.
+
+Scale: passes are group counts combined on the map side and shuffled joins back with the groups that repeat, split by AQE where skewed. No group is
 collected: a passage that a third of all documents share is one count. Rows go by the hash of their text, so copies share their intervals. Only a document's own
-intervals meet in one row. Python reads the texts three times in pieces of CHUNK windows; the second reading takes only documents with open runs.
+intervals meet in one row. Python reads the texts up to four times in pieces of CHUNK windows; the later readings take only documents with open runs.
 
 Cases. Null or empty text: 0 bytes, nothing removed. Texts under DEPTH bytes: kept. Null or repeated ids: each row has its own result. Copies of DEPTH bytes or
 more lose all bytes. Ties between equal anchors: the leftmost. Empty table: no rows. Other columns are ignored, whatever their names.
@@ -31,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import U64, Powers, join_small, mix64, prefix_hash, written
+from strideway.llm.common import U64, Powers, discard, join_small, mix64, prefix_hash, written
 
-DEPTH, GRAM = 400, 128
+DEPTH, GRAM, WIDTH = 400, 128, 32
 CHUNK = 1 << 19
 _POS = U64((1 << 20) - 1)
 RUNS = "k1 long, k2 int, g long, p int, o_lo int, o_hi int, span long"
-WINDOWS = "k1 long, k2 int, g long, o int, w long, s int, solo boolean"
+#: Pieces of a run have the same columns; solo: no equal run was found for it so far.
+PIECES = RUNS + ", solo boolean"
 INTERVALS = "k1 long, k2 int, spans array<int>"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _ONE, _TWO = Powers(), Powers(0xA0761D6478BD642F)
@@ -96,38 +98,54 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k1, k2, text, todo in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("todo").to_pylist()):
-            data = np.frombuffer(text.as_buffer(), np.uint8)
-            todo = sorted((x["p"] - x["o_hi"], x["p"] - x["o_lo"], x["p"], x["g"], x["solo"]) for x in todo)
-            at = 0
-            while at < len(todo):
-                base = todo[at][0] // CHUNK * CHUNK
-                end = at
-                while end < len(todo) and todo[end][0] < base + CHUNK:
-                    end += 1
-                some = todo[at:end]
-                at = end
-                low, high = some[0][0], max(x[1] for x in some) + DEPTH
-                c, down = prefix_hash(data[low:high], _TWO)
-                first, last = np.array([x[0] for x in some]), np.array([x[1] for x in some])
-                counts = last - first + 1
-                which = np.repeat(np.arange(len(some)), counts)
-                s = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[which]
-                w = mix64((c[s - low + DEPTH] - c[s - low]) * down[s - low])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(s), k1, np.int64)),
-                        pa.array(np.full(len(s), k2, np.int32)),
-                        pa.array(np.array([x[3] for x in some], np.int64)[which]),
-                        pa.array((np.array([x[2] for x in some])[which] - s).astype(np.int32)),
-                        pa.array(w.view(np.int64)),
-                        pa.array(s.astype(np.int32)),
-                        pa.array(np.array([x[4] for x in some], bool)[which]),
-                    ],
-                    names=[x.split()[0] for x in WINDOWS.split(", ")],
-                )
+def _split(width: int):
+    """Pieces of runs: the windows whose offsets to the anchor share a quotient by width.
+
+    The core of such a bucket, the DEPTH - width + 1 bytes that all its windows contain, is a function of any of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, text, todo in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("todo")):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                fields = todo.values
+                g, p, o_lo, o_hi = (fields.field(x).to_numpy().astype(np.int64) for x in ("g", "p", "o_lo", "o_hi"))
+                solo = fields.field("solo").to_numpy(zero_copy_only=False)
+                order = np.argsort(p - o_hi, kind="stable")
+                g, p, o_lo, o_hi, solo = g[order], p[order], o_lo[order], o_hi[order], solo[order]
+                pieces = (p - o_hi) // CHUNK
+                for at in np.split(np.arange(len(p)), np.flatnonzero(pieces[1:] != pieces[:-1]) + 1):
+                    low, high = int((p[at] - o_hi[at]).min()), int((p[at] - o_lo[at]).max()) + DEPTH
+                    c, down = prefix_hash(data[low:high], _TWO)
+                    first, last = o_lo[at] // width, o_hi[at] // width
+                    counts = last - first + 1
+                    which = np.repeat(at, counts)
+                    j = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - first, counts)
+                    lo, hi = np.maximum(o_lo[which], j * width), np.minimum(o_hi[which], j * width + width - 1)
+                    here = p[which] - low
+
+                    def hashed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+                        return mix64((c[end] - c[begin]) * down[begin])
+
+                    begin = here - j * width
+                    core = mix64(hashed(begin, begin + DEPTH - width + 1) + g[which].view(U64) * U64(0xD1342543DE82EF95) + j.astype(U64) * U64(0x9E3779B97F4A7C15))
+                    span = hashed(here - hi, here - lo + DEPTH)
+                    n = len(which)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, k1, np.int64)),
+                            pa.array(np.full(n, k2, np.int32)),
+                            pa.array(core.view(np.int64)),
+                            pa.array(p[which].astype(np.int32)),
+                            pa.array(lo.astype(np.int32)),
+                            pa.array(hi.astype(np.int32)),
+                            pa.array(span.view(np.int64)),
+                            pa.array(solo[which]),
+                        ],
+                        names=[x.split()[0] for x in PIECES.split(", ")],
+                    )
+
+    return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,32 +180,40 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=[c.split()[0] for c in RESULT.split(", ")])
 
 
+def _digit(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over pieces (PIECES): (their intervals that are finished as repeats, what the next pass has to split by text)."""
+    key = ["k1", "k2"]
+    shared = pieces.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    left = written(pieces.join(shared, "g", "left_semi"), "open-pieces")
+    discard(pieces)
+    same = ["g", "span", "o_lo", "o_hi"]
+    groups = written(left.groupBy(*same).agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("p").alias("p"), F.first("solo").alias("solo")), "piece-groups")
+    done = left.filter("solo").join(groups.filter("n > 1").select(*same), same, "left_semi")
+    done = done.select(*key, (F.col("p") - F.col("o_hi")).alias("lo"), (F.col("p") - F.col("o_lo") + DEPTH).alias("hi"))
+    # one member of each group of equal pieces goes on, where the core has a piece of its own
+    lone = (F.col("n") == 1) & F.col("solo")
+    todo = groups.join(groups.filter(lone).select("g").distinct(), "g", "left_semi")
+    todo = todo.select(*key, F.struct("g", "p", "o_lo", "o_hi", lone.alias("solo")).alias("x"))
+    # a text has at most one piece for each of its bytes, so its list is bounded by its length
+    return done, todo.groupBy(*key).agg(F.collect_list("x").alias("todo"))
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """INTERVALS: (k1, k2, spans) of each text with a repeated window; texts has k1, k2, text."""
     key = ["k1", "k2"]
-    all_runs = written(texts.filter(F.octet_length("text") >= DEPTH).mapInArrow(_scan, RUNS), "runs")
-    # first digit
-    shared = all_runs.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    open_runs = written(join_small(all_runs, shared, ["g"], "left_semi", 24, "anchors"), "open-runs")
-    # second digit
-    digit = ["g", "span", "o_lo", "o_hi"]
-    groups = open_runs.groupBy(*digit).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("one"))
-    groups = written(groups, "run-groups")
-    same = open_runs.join(groups.filter("n > 1").select(*digit), digit, "left_semi")
-    done = same.select(*key, (F.col("p") - F.col("o_hi")).alias("lo"), (F.col("p") - F.col("o_lo") + DEPTH).alias("hi"))
-    # last digit: one member of each group of equal runs, where an anchor has a run of its own
-    alone = groups.filter("n = 1").select("g").distinct()
-    todo = join_small(groups, alone, ["g"], "left_semi", 24, "open-anchors")
-    todo = todo.select("one.k1", "one.k2", F.struct("g", F.col("one.p").alias("p"), "o_lo", "o_hi", (F.col("n") == 1).alias("solo")).alias("x"))
-    # a text has at most a run for each of its bytes, so the list is bounded by the text
-    todo = todo.groupBy(*key).agg(F.collect_list("x").alias("todo"))
-    again = join_small(texts, todo, key, "inner", F.size("todo") * 40 + 32, "open-texts")
-    windows = written(again.select(*key, "text", "todo").mapInArrow(_windows, WINDOWS), "windows")
-    last = ["g", "o", "w"]
-    twice = windows.groupBy(*last).agg(F.count("*").alias("n")).filter("n > 1").select(*last)
-    found = windows.filter("solo").join(twice, last, "left_semi").select(*key, F.col("s").alias("lo"), (F.col("s") + DEPTH).alias("hi"))
+    runs_ = texts.filter(F.octet_length("text") >= DEPTH).mapInArrow(_scan, RUNS).withColumn("solo", F.lit(True))
+    found, pieces = [], written(runs_, "runs")
+    for width in (WIDTH, 1):
+        done, todo = _digit(pieces)
+        found.append(done)
+        again = join_small(texts, todo, key, "inner", F.size("todo") * 40 + 32, "open-texts")
+        pieces = written(again.select(*key, "text", "todo").mapInArrow(_split(width), PIECES), "pieces")
+    # of width 1 a piece is a window and its core all of it: equal cores are the end
+    twice = pieces.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    last = pieces.filter("solo").join(twice, "g", "left_semi")
+    found.append(last.select(*key, (F.col("p") - F.col("o_hi")).alias("lo"), (F.col("p") - F.col("o_lo") + DEPTH).alias("hi")))
     # copies repeat each other's rows; distinct before anything is collected
-    parts = done.unionByName(found).distinct().groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    parts = found[0].unionByName(found[1]).unionByName(found[2]).distinct().groupBy(*key).agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     return parts.mapInArrow(_merge, INTERVALS)
 
 
