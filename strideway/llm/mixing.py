@@ -9,7 +9,7 @@ an iteration is one aggregation of a narrow written table and hands the driver o
 Target tokens are target weight x total; the total is the largest that no domain has to be repeated for, so that rates up to max_rate = 1 can meet it.
 A document is taken floor(rate) times, and once more if the hash of its id and text falls below the remainder: the draw is reproducible.
 
-The classifier is a naive Bayes model of present features: hashed words and levels of symbols, capitals and repeated words; the FEATURES ones of largest information gain are used.
+The classifier is a naive Bayes model of present features: words, doubled symbols and levels of repeated words; the FEATURES ones of largest information gain are used.
 It is fitted on about TRAIN_DOCS labelled rows a domain, chosen by a hash, whatever the corpus is. All counts and totals of tokens cover
 all documents. A hot source or domain is only a larger term of map-side sums. Labels join by id with AQE's skew splitting.
 
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from strideway.llm.common import join_small, written
 
 DOMAINS = ("junk", "good", "toxic")
+GOOD = 1
 TARGETS = (0.02, 0.975, 0.005)
-#: Features of the classifier, and levels of each of the three shape features.
+#: Features of the classifier, and levels of the share of repeated words; symbols whose doubling is a feature.
 FEATURES, LEVELS = 120, 16
+SYMBOLS = "!%*$&#@~=^<>|?"
 #: The absence of a feature counts if the middle one of its rates in the domains is less; that of common words only tells short texts.
 RARE = 0.05
 #: Labelled rows a domain that the classifier is fitted on, in expectation.
@@ -45,36 +47,33 @@ class Model:
     """Log prior and constants by domain; log odds by feature and domain."""
 
     prior: list[float]
-    odds: dict[int, list[float]]
+    odds: dict[str, list[float]]
 
 
 _RESULTS = ("n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS))
 
 
 def _words(text: Column) -> Column:
-    """Lower-cased words without symbols; one-character separators keep the split off regular expressions."""
-    plain = F.translate(F.lower(text), "\n\t\r\f.,;:!?%$&*#@^~|<>=+\"'()[]{}", "    ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    """Lower-cased words without full stops and commas. Plain replacements and one-character separators: no regular expressions."""
+    plain = F.lower(text)
+    for old, new in ((".", ""), (",", ""), ("\n", " "), ("\t", " "), ("\r", " "), ("\f", " ")):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _shape(text: Column, words: Column) -> list[Column]:
-    """Shares of symbols, capitals and repeats in a text, each in LEVELS levels: one feature of each kind, below 3 x LEVELS."""
-    n = F.greatest(F.length(text), F.lit(1))
-    symbols = F.length(text) - F.length(F.translate(text, "!#$%&*@^~|<>=+", ""))
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    repeats = F.size(words) - F.size(F.array_distinct(words))
-    level = lambda x, of: F.least(F.floor(F.lit(2 * LEVELS) * x / of), F.lit(LEVELS - 1)).cast("int")
-    return [level(symbols, n), F.lit(LEVELS) + level(capitals, n), F.lit(2 * LEVELS) + level(repeats, F.greatest(F.size(words), F.lit(1)))]
-
-
-def _features(text: Column, words: Column, chosen: list[int] | None) -> Column:
-    """Distinct features of a text: hashes of its words (of the chosen ones, if given) and its shape."""
-    hashes = F.transform(words, lambda w: F.hash(w).bitwiseOR(F.lit(1 << 20)))  # no word is taken for a shape
+    """Features of form: each doubled symbol that occurs (else null), and the share of repeated words in LEVELS levels. No word contains a blank, as these do."""
+    level = F.least(F.floor(F.lit(LEVELS) * (1 - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))), F.lit(LEVELS - 1))
+    return [*[F.when(F.contains(text, F.lit(2 * x)), F.lit(f"has {2 * x}")) for x in SYMBOLS], F.concat(F.lit("repeats "), level.cast("string"))]
+
+
+def _features(text: Column, words: Column, chosen: list[str] | None) -> Column:
+    """Distinct features of a text: its words (of the chosen ones, if given) and its form."""
     if chosen is None:
-        hashes = F.array_distinct(hashes)
+        own = F.array_distinct(words)
     else:
-        hashes = F.array_intersect(hashes, F.expr(f"array({','.join(map(str, chosen))})" if chosen else "cast(array() as array<int>)"))
-    return F.concat(hashes, F.array(*_shape(text, words)))
+        own = F.array_intersect(words, F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>"))
+    return F.concat(own, F.array_compact(F.array(*_shape(text, words))))
 
 
 def _domain(quality: Column, toxic: Column) -> Column:
@@ -125,42 +124,47 @@ def posteriors(df: DataFrame, model: Model, text_col: str) -> DataFrame:
     chosen = sorted(model.odds)
     df = df.withColumn("__w", _words(text))
     df = df.withColumn("__f", _features(text, F.col("__w"), chosen)).withColumn("n_tokens", F.size("__w").cast("long"))
-    names = f"array({','.join(map(str, chosen))})" if chosen else "cast(array() as array<int>)"
-    df = df.withColumn("__i", F.expr(f"filter(transform(__f, f -> array_position({names}, f)), i -> i > 0)"))
+    names = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>")
+    df = df.withColumn("__i", F.filter(F.transform("__f", lambda f: F.array_position(names, f).cast("int")), lambda i: i > 0))
     for d in range(k):
         table = "array(" + ",".join(f"{model.odds[f][d]:.6f}D" for f in chosen) + ")" if chosen else "array(0D)"
-        score = F.expr(f"aggregate(__i, 0D, (s, i) -> s + get({table}, cast(i - 1 as int)))")
+        score = F.expr(f"aggregate(__i, 0D, (s, i) -> s + get({table}, i - 1))")
         df = df.withColumn(f"__s{d}", F.lit(float(model.prior[d])) + F.when(F.col("n_tokens") > 0, score).otherwise(0.0))
     top = F.greatest(*[F.col(f"__s{d}") for d in range(k)])
     parts = [F.exp(F.col(f"__s{d}") - top) for d in range(k)]
     whole = sum(parts[1:], parts[0])
-    df = df.withColumns({f"p_{name}": parts[d] / whole for d, name in enumerate(DOMAINS)})
+    # six digits: documents of one rounded posterior are one row of the least squares
+    df = df.withColumns({f"p_{name}": F.round(parts[d] / whole, 6) for d, name in enumerate(DOMAINS) if d != GOOD})
+    df = df.withColumn(f"p_{DOMAINS[GOOD]}", 1 - sum([F.col(f"p_{name}") for d, name in enumerate(DOMAINS) if d != GOOD], F.lit(0.0)))
     return df.drop("__w", "__f", "__i", *[f"__s{d}" for d in range(k)])
 
 
-def _rate(steps: list[list[float]], max_rate: float | None, ahead: bool = False) -> Column:
-    """The rate after accelerated projected steps, or with `ahead` the point where the next gradient is taken."""
+def _state(steps: list[list[float]], max_rate: float | None) -> Column:
+    """Struct of r, the rate after accelerated projected steps, and y, the point where the next gradient is taken."""
     p = [F.col(f"p_{name}") for name in DOMAINS]
     project = lambda x: F.greatest(x if max_rate is None else F.least(x, F.lit(max_rate)), F.lit(0.0))
     first = F.lit(1.0 if max_rate is None else min(1.0, max_rate))
+    start = F.struct(first.alias("r"), first.alias("y"))
     if not steps:
-        return first
+        return start
     rows = F.expr("array(" + ",".join("array(" + ",".join(f"{x:.17g}D" for x in s) + ")" for s in steps) + ")")
 
     def step(state: Column, s: Column) -> Column:
         moved = project(state["y"] + sum([p[d] * F.get(s, F.lit(d)) for d in range(1, len(p))], p[0] * F.get(s, F.lit(0))))
         return F.struct(moved.alias("r"), (moved + F.lit(MOMENTUM) * (moved - state["r"])).alias("y"))
 
-    return F.aggregate(rows, F.struct(first.alias("r"), first.alias("y")), step, lambda s: s["y"] if ahead else s["r"])
+    return F.aggregate(rows, start, step)
 
 
 def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0) -> tuple[list[list[float]], dict[str, list[float]]]:
-    """(steps for _rate, report of tokens, targets and what is reached); table has n_tokens and posteriors."""
+    """(steps for _state, report of tokens, targets and what is reached); table has n_tokens and posteriors."""
     k = len(DOMAINS)
-    mass = [F.col("n_tokens") * F.col(f"p_{name}") for name in DOMAINS]
-    sums = lambda rate: table.select([F.sum(m * rate).alias(str(d)) for d, m in enumerate(mass)]).first()
-    have = [float(x or 0) for x in sums(F.lit(1.0))]
-    gram = table.select([F.sum(mass[a] * F.col(f"p_{DOMAINS[b]}")).alias(f"{a}_{b}") for a in range(k) for b in range(k)]).first()
+    names = [f"p_{name}" for name in DOMAINS]
+    # a document's rate depends on its posterior only, so equal posteriors are added up first
+    groups = written(table.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("n_tokens")), "posterior-groups")
+    mass = [F.col("n_tokens") * F.col(name) for name in names]
+    gram = groups.select([F.sum(mass[a] * F.col(names[b])).alias(f"{a}_{b}") for a in range(k) for b in range(k)] + [F.sum(m).alias(f"t{d}") for d, m in enumerate(mass)]).first()
+    have = [float(gram[f"t{d}"] or 0) for d in range(k)]
     live = [d for d in range(k) if have[d] > 0]
     if not live:
         return [], {"tokens": have, "target": [0.0] * k, "reached": have}
@@ -171,15 +175,20 @@ def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate:
     want = [w * total for w in weight]
     # the largest row sum bounds the largest eigenvalue of the scaled Gram matrix, so this step never overshoots
     bound = max(sum((gram[f"{a}_{b}"] or 0.0) / math.sqrt(have[a] * have[b]) for b in live) for a in live)
+
+    def sums(steps: list[list[float]]) -> tuple[list[float], list[float]]:
+        rows = groups.withColumn("s", _state(steps, max_rate))
+        row = rows.select([F.sum(m * F.col("s")[x]).alias(f"{d}{x}") for x in ("r", "y") for d, m in enumerate(mass)]).first()
+        values = [float(x or 0) for x in row]
+        return values[:k], values[k:]
+
     steps: list[list[float]] = []
-    reached = [float(x or 0) for x in sums(_rate([], max_rate))]
-    ahead = reached
+    reached, ahead = sums(steps)
     for _ in range(ITERATIONS):
         if max(abs(reached[d] - want[d]) for d in live) <= TOLERANCE * max(total, 1.0):
             break
         steps.append([(want[d] - ahead[d]) / have[d] / bound if d in live else 0.0 for d in range(k)])
-        both = table.select([F.sum(m * _rate(steps, max_rate, a)).alias(f"{d}_{a}") for a in (False, True) for d, m in enumerate(mass)]).first()
-        reached, ahead = [float(x or 0) for x in both[:k]], [float(x or 0) for x in both[k:]]
+        reached, ahead = sums(steps)
     return steps, {"tokens": have, "target": want, "reached": reached}
 
 
@@ -191,7 +200,7 @@ def mixed(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     scored = posteriors(df, model, text_col).withColumn("__d", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     scored = written(scored.select(*(keep or df.columns), "n_tokens", *[f"p_{d}" for d in DOMAINS], "__d"), "posteriors")
     steps, _ = fit_rates(scored, targets, max_rate)
-    out = scored.withColumn("rate", _rate(steps, max_rate))
+    out = scored.withColumn("rate", _state(steps, max_rate)["r"])
     copies = (F.floor("rate") + F.when(F.col("__d") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
     return out.withColumn("copies", copies).drop("__d")
 
