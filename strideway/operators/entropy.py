@@ -12,7 +12,7 @@ from strideway.operators.paths import PathSet
 def preference_counts(paths: PathSet) -> DataFrame:
     """(node, s, d, n): paths of two edges by middle, predecessor and successor."""
     two = paths.stats(2, 2)
-    return two.select(F.element_at("path", 2).alias("node"), F.element_at("path", 1).alias("s"), F.element_at("path", 3).alias("d"), (F.col("sub") + F.col("longest")).alias("n")).filter("n > 0")
+    return two.select(F.get("path", F.lit(1)).alias("node"), F.get("path", F.lit(0)).alias("s"), F.get("path", F.lit(2)).alias("d"), (F.col("sub") + F.col("longest")).alias("n")).filter("n > 0")
 
 
 def betweenness_preferences(paths: PathSet, normalized: bool = False, method: str = "MLE") -> DataFrame:

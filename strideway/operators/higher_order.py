@@ -128,7 +128,7 @@ class HigherOrderNetwork:
         return filled(d, self.paths.nodes(), normalized)
 
     def betweenness(self, normalized: bool = False) -> DataFrame:
-        """k-order shortest paths read as first-order paths, the shortest of each pair counted once."""
+        """k-order shortest paths read as first-order paths, the shortest of each pair counted once; ways from a node back to itself count too."""
         from strideway.functions.grams import first_order_path
         from strideway.operators.paths import filled
         from strideway.operators.traversal import all_shortest_paths
@@ -137,7 +137,7 @@ class HigherOrderNetwork:
         flat = self.weights().select(F.array_join("src", sep).alias("src"), F.array_join("dst", sep).alias("dst"))
         p = all_shortest_paths(flat).select(first_order_path(F.transform("path", lambda x: F.split(x, sep))).alias("path"))
         p = p.unionByName(self.nodes().select(F.col("node").alias("path"))).distinct()
-        p = p.select(F.element_at("path", 1).alias("s"), F.element_at("path", -1).alias("d"), "path", F.size("path").alias("n")).filter("s <> d")
+        p = p.select(F.element_at("path", 1).alias("s"), F.element_at("path", -1).alias("d"), "path", F.size("path").alias("n"))
         p = p.withColumn("r", F.rank().over(Window.partitionBy("s", "d").orderBy("n"))).filter("r = 1").withColumn("m", F.count("*").over(Window.partitionBy("s", "d")))
         inner = p.filter("n > 2").select("s", "d", "m", F.explode(F.slice("path", 2, F.col("n") - 2)).alias("node")).filter("node <> s AND node <> d")
         return filled(inner.groupBy("node").agg(F.sum(1.0 / F.col("m")).alias("value")), self.paths.nodes(), normalized)

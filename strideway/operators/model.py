@@ -43,11 +43,10 @@ class MultiOrderModel:
         return known.groupBy("path", "freq").agg(F.sum(F.log("p")).alias("ll"))
 
     def layer_likelihood(self, paths: PathSet | None = None, layer: int = 1, longer: bool = True, min_len: int | None = None) -> tuple[float, float]:
-        """(log likelihood, path observations times steps) of paths of the layer's length or more."""
+        """(log likelihood, path observations) of paths of the layer's length or more, or of min_len or more."""
         low = layer if min_len is None else min_len
         r = self.path_likelihoods(paths or self.paths, layer, low, None if longer else layer)
-        steps = F.size("path") - 1 if layer else F.size("path")
-        got = r.agg(F.coalesce(F.sum(F.col("ll") * F.col("freq")), F.lit(0.0)), F.coalesce(F.sum(F.col("freq") * steps), F.lit(0.0))).first()
+        got = r.agg(F.coalesce(F.sum(F.col("ll") * F.col("freq")), F.lit(0.0)), F.coalesce(F.sum("freq"), F.lit(0.0))).first()
         return got[0], got[1]
 
     def likelihood_terms(self, paths: PathSet | None = None) -> DataFrame:
@@ -87,10 +86,8 @@ class MultiOrderModel:
     def test_network_hypothesis(self, paths: PathSet | None = None, method: str = "AIC") -> tuple[bool, float, float]:
         """(whether the network topology is worth its parameters, criterion of order 0, of order 1)."""
         p = paths or self.paths
-        l0, _ = self.layer_likelihood(p, 0, min_len=1)
+        l0, n = self.layer_likelihood(p, 0, min_len=1)
         l1, _ = self.layer_likelihood(p, 1, min_len=1)
-        size = F.size("path")
-        n = p.longest.filter(size > 1).agg(F.coalesce(F.sum(F.col("freq") * size), F.lit(0.0))).first()[0]
         d0 = HigherOrderNetwork(self.paths, 0).degrees_of_freedom()
         d1 = d0 + HigherOrderNetwork(self.paths, 1).degrees_of_freedom("paths")
         if method == "AIC":

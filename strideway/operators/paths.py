@@ -102,7 +102,8 @@ class PathSet:
     def edges(self) -> DataFrame:
         """(src, dst, w) of the first-order network: traversals of each edge."""
         s = self.stats(1, 1)
-        return s.select(F.element_at("path", 1).alias("src"), F.element_at("path", 2).alias("dst"), (F.col("sub") + F.col("longest")).alias("w"))
+        # get() and not element_at(): the optimizer may evaluate it on rows that a filter drops
+        return s.select(F.get("path", F.lit(0)).alias("src"), F.get("path", F.lit(1)).alias("dst"), (F.col("sub") + F.col("longest")).alias("w"))
 
     # --- algebra ------------------------------------------------------------------------------------
 

@@ -158,7 +158,7 @@ _TRANS = "trans AS (SELECT k, g, (sub + lon) / sum(sub + lon) OVER (PARTITION BY
 
 
 def _layer_sql(layer: int, low: int = 0) -> str:
-    return f"(SELECT len(path) - 1 AS length, sum(freq * ln(p)) AS ll, sum(freq) AS steps FROM (SELECT path, freq, path[greatest(j - {layer}, 1):j] AS g FROM longest, LATERAL (SELECT unnest(generate_series(1, len(path))) AS j) AS y WHERE len(path) > {low}) AS x JOIN trans USING (g) GROUP BY 1)"
+    return f"(SELECT len(path) - 1 AS length, sum(freq * ln(p)) AS ll FROM (SELECT path, freq, path[greatest(j - {layer}, 1):j] AS g FROM longest, LATERAL (SELECT unnest(generate_series(1, len(path))) AS j) AS y WHERE len(path) > {low}) AS x JOIN trans USING (g) GROUP BY 1)"
 
 
 @query("log_likelihood_by_order", f"WITH {_S}, {_ST}, {_TRANS} " + " UNION ALL ".join(f"SELECT {x} AS layer, CAST(length AS INTEGER) AS length, round(ll, 4) AS ll FROM {_layer_sql(x)}" for x in range(3)))
@@ -167,7 +167,7 @@ def log_likelihood_by_order(spark, sf):
 
 
 _IC = f"""WITH {_S}, {_ST}, {_FIRST}, {_WALKS}, {_TRANS},
-l0 AS (SELECT sum(ll) AS l, sum(steps) AS n FROM {_layer_sql(0, 1)}), l1 AS (SELECT sum(ll) AS l FROM {_layer_sql(1, 1)}),
+l0 AS (SELECT sum(ll) AS l, (SELECT sum(freq) FROM longest WHERE len(path) > 1) AS n FROM {_layer_sql(0, 1)}), l1 AS (SELECT sum(ll) AS l FROM {_layer_sql(1, 1)}),
 d AS (SELECT (SELECT count(*) FROM stats WHERE k = 0) - 1 AS d0, (SELECT sum(n) FROM w1) - (SELECT count(*) FROM go) AS dd),
 x AS (SELECT l0.l AS l0, l1.l AS l1, n, CAST(d0 AS DOUBLE) AS d0, CAST(d0 + dd AS DOUBLE) AS d1 FROM l0, l1, d)
 SELECT 'AIC' AS method, round(2 * d0 - 2 * l0, 4) AS ic0, round(2 * d1 - 2 * l1, 4) AS ic1 FROM x
