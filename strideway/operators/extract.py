@@ -154,6 +154,34 @@ def causal_paths(tempnet: TemporalEdges, delta: int = 1, roots: DataFrame | None
     return PathSet.collect_equal(leaves.select(grams.remove_repeats("path").alias("path"), F.lit(1.0).alias("freq")))
 
 
+def causal_tree(tempnet: TemporalEdges, node: str, t: int, delta: int = 1, guard: int = 10_000) -> DataFrame:
+    """(parent, parent_depth, node, depth): the causal tree of a node at a time; of several parents of a (node, depth) the least holds."""
+    e = cut(tempnet.unfolded(delta))
+    spark = e.sparkSession
+    start = spark.createDataFrame([(None, node, t, 0)], "parent string, v string, t long, depth int")
+
+    def step(now: DataFrame, _: DataFrame) -> DataFrame:
+        near = now.select(F.col("v").alias("v0"), F.col("t").alias("t0"), "depth").join(e, (F.col("v0") == F.col("v")) & (F.col("t0") == F.col("tv")))
+        grown = near.select(F.col("v0").alias("parent"), F.col("w").alias("v"), F.col("tw").alias("t"), (F.col("depth") + 1).alias("depth"))
+        return grown.withColumn("parent", F.min("parent").over(Window.partitionBy("v", "depth"))).distinct()
+
+    rows = frontier(start, step, guard).filter("parent IS NOT NULL")
+    return rows.select("parent", (F.col("depth") - 1).alias("parent_depth"), F.col("v").alias("node"), "depth").distinct()
+
+
+def temporal_walks(tempnet: TemporalEdges, starts: DataFrame, length: int, seed: int = 0) -> DataFrame:
+    """(walker, path): from (walker, node) each walker takes, up to `length` times, an edge of its node's next active time, one of several by a seeded choice."""
+    e = cut(tempnet.edges.select("src", "dst", "t").distinct())
+    now = starts.select("walker", F.array("node").alias("path"), F.lit(None).cast("long").alias("at"))
+    for k in range(length):
+        here = now.withColumn("src", F.element_at("path", -1))
+        near = here.join(e, "src", "left").filter(F.col("t").isNull() | F.col("at").isNull() | (F.col("t") > F.col("at")))
+        pick = F.min_by(F.struct("dst", "t"), F.struct("t", F.xxhash64(F.lit(seed), F.lit(k), "walker", "dst").alias("h")))
+        step = near.filter("t IS NOT NULL").groupBy("walker").agg(pick.alias("x"))
+        now = cut(now.join(step, "walker", "left").select("walker", F.when(F.col("x").isNull(), F.col("path")).otherwise(F.concat("path", F.array("x.dst"))).alias("path"), F.coalesce("x.t", "at").alias("at")))
+    return now.select("walker", "path")
+
+
 def sampled_causal_paths(tempnet: TemporalEdges, delta: int, num_roots: int, seed: int = 0) -> PathSet:
     """Causal paths of a seeded sample of roots."""
     e = tempnet.unfolded(delta)

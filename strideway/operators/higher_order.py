@@ -87,6 +87,12 @@ class HigherOrderNetwork:
         one = self.nodes().select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("v"))
         return one.unionByName(self.transitions(include_subpaths).select("src", "dst", (-F.col("p")).alias("v"))).groupBy("src", "dst").agg(F.sum("v").alias("v"))
 
+    def summary(self) -> DataFrame:
+        """(metric, value)."""
+        e = self.edges().agg(F.count("*").cast("double").alias("edges"), F.coalesce(F.sum("w_sub"), F.lit(0.0)).alias("weight_sub"), F.coalesce(F.sum("w_long"), F.lit(0.0)).alias("weight_long"))
+        row = e.crossJoin(self.nodes().agg(F.count("*").cast("double").alias("nodes")))
+        return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in row.columns])).alias("x")).select("x.*")
+
     def degrees_of_freedom(self, assumption: str = "paths") -> int:
         """Free parameters: of all n-grams, or of the walks that the first-order network allows."""
         if self.k == 0:

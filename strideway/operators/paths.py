@@ -105,11 +105,27 @@ class PathSet:
         # get() and not element_at(): the optimizer may evaluate it on rows that a filter drops
         return s.select(F.get("path", F.lit(0)).alias("src"), F.get("path", F.lit(1)).alias("dst"), (F.col("sub") + F.col("longest")).alias("w"))
 
+    def summary(self) -> DataFrame:
+        """(metric, value)."""
+        k = F.size("path") - 1
+        row = self.longest.agg(
+            F.coalesce(F.sum("freq"), F.lit(0.0)).alias("observations"),
+            F.count("*").cast("double").alias("unique"),
+            F.min(k).cast("double").alias("min_length"),
+            F.max(k).cast("double").alias("max_length"),
+            (F.sum(F.col("freq") * k) / F.sum("freq")).alias("mean_length"),
+        ).crossJoin(self.nodes().agg(F.count("*").cast("double").alias("nodes")))
+        return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in row.columns])).alias("x")).select("x.*")
+
     # --- algebra ------------------------------------------------------------------------------------
 
     def _like(self, rows: DataFrame) -> PathSet:
         return PathSet.collect_equal(rows, self.separator, self.cap)
 
+    def add_paths(self, rows: Iterable[tuple]) -> PathSet:
+        """With more (path, frequency) pairs."""
+        return self + PathSet.of(self.longest.sparkSession, rows, self.separator)
+
     def __add__(self, other: PathSet) -> PathSet:
         return self._like(self.longest.unionByName(other.longest))
 
@@ -136,12 +152,13 @@ class PathSet:
     def sequence(self, stop: str = "|") -> DataFrame:
         """(pos, s): all longest paths, each int(freq) times, concatenated, with the stop symbol after each."""
         one = self.longest.select(F.explode(F.array_repeat(F.concat("path", F.array(F.lit(stop))), F.col("freq").cast("int"))).alias("path"))
-        key = F.concat_ws(self.separator, "path")
-        # positions need one order of all paths; a path's own symbols stay together
-        numbered = one.withColumn("n", F.size("path")).withColumn("key", key)
-        w = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-        start = F.coalesce(F.sum("n").over(w), F.lit(0))
-        return numbered.withColumn("start", start).select("start", F.posexplode("path").alias("i", "s")).select((F.col("start") + F.col("i")).alias("pos"), "s")
+        # paths are ordered by a digest, whose first digits are buckets: offsets come from a table of at most 4096 sums
+        numbered = one.select("path", F.size("path").cast("long").alias("n"), F.md5(F.concat_ws(self.separator, "path")).alias("key")).withColumn("b", F.substring("key", 1, 3))
+        sums = numbered.groupBy("b").agg(F.sum("n").alias("n"))
+        offsets = sums.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+        within = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = numbered.withColumn("w", within).join(F.broadcast(offsets), "b").select((F.col("o") + F.col("w")).alias("start"), F.posexplode("path").alias("i", "s"))
+        return starts.select((F.col("start") + F.col("i")).alias("pos"), "s")
 
     # --- distances ----------------------------------------------------------------------------------
 

@@ -73,6 +73,15 @@ def projected(values: DataFrame, how: str = "all") -> DataFrame:
     return out.crossJoin(F.broadcast(out.agg(F.sum("value").alias("t")))).select(F.col("v").alias("node"), (F.col("value") / F.col("t")).alias("value"))
 
 
+def eigenvector_of(network: HigherOrderNetwork, how: str = "scaled", include_subpaths: bool = True) -> DataFrame:
+    """(node, value) of first-order nodes: eigenvector centrality over k-grams, then projected."""
+    sep = "\x01"
+    w = network.weights(include_subpaths).select(F.array_join("src", sep).alias("src"), F.array_join("dst", sep).alias("dst"))
+    values = eigenvector_centrality(w).select(F.split("node", sep).alias("node"), "value")
+    out = projected(values, how) if network.k > 1 else values.select(F.element_at("node", 1).alias("node"), "value")
+    return filled(out, network.paths.nodes())
+
+
 def pagerank_of(network: HigherOrderNetwork, how: str = "scaled", include_subpaths: bool = True, weighted: bool = False, alpha: float = 0.85) -> DataFrame:
     """(node, value) of first-order nodes: PageRank over k-grams, isolated ones included, then projected."""
     sep = "\x01"

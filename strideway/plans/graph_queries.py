@@ -322,3 +322,17 @@ def gnp_graph(spark, sf):
     from strideway.operators.generators import gnp
 
     return gnp(I.table(spark, sf, "nation", F.col("n_nationkey").cast("string").alias("node")), 0.2, seed=3)
+
+
+@query("temporal_walks", None)
+def temporal_walks(spark, sf):
+    net = I.hand_overs(spark, sf)
+    starts = net.edges.select(F.col("src").alias("node")).distinct().select(F.xxhash64("node").alias("walker"), "node")
+    return extract.temporal_walks(net, starts, 5).select("walker", F.array_join("path", ",").alias("path"))
+
+
+@query("eigenvector_centrality", None)
+def eigenvector_centrality(spark, sf):
+    from strideway.operators.spectral import eigenvector_centrality as values
+
+    return values(I.trade_network(spark, sf, False).arcs()).select("node", r6("value", "value"))

@@ -274,3 +274,24 @@ _MC2 = "c2 AS (SELECT lag(role, 2) OVER w AS a0, lag(role) OVER w AS a1, role AS
 @query("markov_bic", f"{_MC}, {_MC2}, z AS (SELECT CAST(count(DISTINCT role) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM conversations) SELECT round(ln(n - 1) * (k - k * k) * (k - 1) - 2 * ((SELECT sum(cnt * ln(p)) FROM p) - (SELECT sum(cnt * ln(p)) FROM p2)), 4) AS bic FROM z")
 def markov_bic(spark, sf):
     return spark.createDataFrame([(float(MarkovSequence(_roles(spark, sf), "conv_id").bic(1, 2)),)], "bic double").select(F.round("bic", 4).alias("bic"))
+
+
+@query("path_summary", f"""WITH {_S}, x AS (SELECT sum(freq) AS o, CAST(count(*) AS DOUBLE) AS u, CAST(min(len(path) - 1) AS DOUBLE) AS lo, CAST(max(len(path) - 1) AS DOUBLE) AS hi, round(sum(freq * (len(path) - 1)) / sum(freq), 6) AS m FROM longest),
+n AS (SELECT CAST(count(DISTINCT v) AS DOUBLE) AS n FROM (SELECT unnest(path) AS v FROM longest))
+SELECT 'observations' AS metric, o AS value FROM x UNION ALL SELECT 'unique', u FROM x UNION ALL SELECT 'min_length', lo FROM x UNION ALL SELECT 'max_length', hi FROM x UNION ALL SELECT 'mean_length', m FROM x UNION ALL SELECT 'nodes', n FROM n""")
+def path_summary(spark, sf):
+    return I.sessions(spark, sf).summary().select("metric", r6("value", "value"))
+
+
+@query("pagerank_order2", None)
+def pagerank_order2(spark, sf):
+    from strideway.operators.spectral import pagerank_of
+
+    return pagerank_of(HigherOrderNetwork(I.sessions(spark, sf), 2)).select("node", r6("value", "value"))
+
+
+@query("slow_down_factor", None)
+def slow_down_factor(spark, sf):
+    from strideway.operators.spectral import slow_down_factor as factor
+
+    return spark.createDataFrame([(float(factor(I.sessions(spark, sf))),)], "value double").select(r6("value", "value"))

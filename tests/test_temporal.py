@@ -92,3 +92,12 @@ def test_random_operators(spark, net):
     assert sorted(r["t"] for r in s.edges.collect()) == list(range(1, 22)) and s.aggregate().exceptAll(net.aggregate()).count() == 0
     seq = spark.createDataFrame(list(enumerate("abcab")), "pos long, s string").select("pos", F.col("s"))
     assert extract.activity_dag(seq, 1).count() == 4 and extract.activity_dag(seq).count() == 10
+
+
+def test_trees_and_temporal_walks(spark):
+    n = TemporalEdges.of(spark, X.CAUSAL)
+    tree = {tuple(r) for r in extract.causal_tree(n, "a", 1, 2).collect()}
+    assert ("a", 0, "b", 1) in tree and ("b", 1, "c", 2) in tree and len({r[2:] for r in tree}) == len(tree)
+    starts = spark.createDataFrame([(1, "a"), (2, "z")], "walker long, node string")
+    got = {r["walker"]: r["path"] for r in extract.temporal_walks(n, starts, 3, seed=1).collect()}
+    assert got[2] == ["z"] and got[1][:2] == ["a", "b"] and len(got[1]) <= 4
