@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,13 @@ def prefix_hash(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarra
     return c, down
 
 
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in pieces of some rows, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int | Column, name: str = "side") -> DataFrame:
     """big joined with small, which is written and counted first: broadcast if it is proven to stay under
     BROADCAST_BYTES, else the shuffled join that AQE can split by skew."""

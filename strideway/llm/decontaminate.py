@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import U64, Powers, mix64, prefix_hash
+from strideway.llm.common import U64, Powers, mix64, prefix_hash, slices
 
 SHARE, MIN_WORDS, GRAM = 0.15, 5, 3
 SAMPLES, REPEATS, TARGET = 4, 32, 0.95
@@ -255,7 +255,7 @@ def find_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     def scan(bench: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for doc_id, found in zip(batch.column("doc_id").to_pylist(), bench.matches_in(batch.column("text").to_pylist())):
                     rows += [(doc_id, bench.items[i][0], edits, start, n) for i, edits, start, n in found]
@@ -276,7 +276,7 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", bloc
 
     def clean(bench: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not m for m in bench.matches_in(batch.column(text_col).to_pylist())], pa.bool_()))
 
         return run

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideway.llm.common import slices
+
 #: Rows that the classifiers are fitted on, in expectation; at most twice as many.
 TRAIN_DOCS = 3000
-DIMS = 1 << 13
+DIMS, TRAIN_DIMS = 1 << 13, 2048
 EXHAUSTIVE = 5
 STEPS = 60
 CHUNK = 1 << 20
@@ -157,17 +159,27 @@ class Ecoc:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Ecoc:
-    """The classifiers from (trigram numbers, shares, lang) by accelerated gradient descent."""
+    """The classifiers from (trigram numbers, shares, lang) by accelerated gradient descent, on the TRAIN_DIMS trigrams whose shares vary most."""
     langs = sorted({r[2] for r in rows})
     code = codebook(len(langs))
     bits = code.shape[1]
     if not bits:
         return Ecoc(langs, code, np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
-    x = np.zeros((len(rows), DIMS), np.float32)
+    sums, squares = np.zeros(DIMS), np.zeros(DIMS)
+    for at, share, _ in rows:
+        sums[at] += share
+        squares[at] += share.astype(np.float64) ** 2
+    mean = sums / len(rows)
+    deviation = np.sqrt(np.maximum(squares / len(rows) - mean**2, 0))
+    used = np.sort(np.argsort(-deviation, kind="stable")[:TRAIN_DIMS])
+    place = np.full(DIMS, -1)
+    place[used] = np.arange(len(used))
+    scale = (1 / (deviation[used] + 1e-4)).astype(np.float32)
+    mean = mean[used].astype(np.float32)
+    x = np.zeros((len(rows), len(used)), np.float32)
     for i, (at, share, _) in enumerate(rows):
-        x[i, at] = share
-    scale = (1 / (x.std(0) + 1e-4)).astype(np.float32)
-    mean = x.mean(0)
+        known = place[at] >= 0
+        x[i, place[at[known]]] = share[known]
     x -= mean
     x *= scale
     target = code[[langs.index(r[2]) for r in rows]].astype(np.float32)
@@ -175,7 +187,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Ecoc:
     weight = np.array([1 / sum(r[2] == lang for r in rows) for lang in langs], np.float32)[[langs.index(r[2]) for r in rows]] / len(langs)
     norms = np.einsum("ij,ij->i", x, x)
     step = np.float32(4 / float(norms.mean() + 1))
-    w, b = np.zeros((DIMS, bits), np.float32), np.zeros(bits, np.float32)
+    w, b = np.zeros((len(used), bits), np.float32), np.zeros(bits, np.float32)
     vw, vb = w.copy(), b.copy()
     for _ in range(STEPS):
         f = x @ vw + vb
@@ -186,10 +198,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Ecoc:
     f = x @ w + b
     right = (weight[:, None] * (f * target > 0)).sum(0)
     spread = np.float32(2) / (np.abs(f).mean(0) + np.float32(1e-6))  # margins of a size that the loss can tell apart
-    weights = (w * scale[:, None]) * spread
+    weights = np.zeros((DIMS, bits), np.float32)
+    weights[used] = (w * scale[:, None]) * spread
     bias = (b - (mean * scale) @ w) * spread
     alpha = np.clip(2 * right - 1, 0.01, 1).astype(np.float64)
-    return Ecoc(langs, code, weights.astype(np.float32), bias.astype(np.float64), alpha / alpha.sum() * bits)
+    return Ecoc(langs, code, weights, bias.astype(np.float64), alpha / alpha.sum() * bits)
 
 
 def held_out(id_col: Column) -> Column:
@@ -201,7 +214,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         pairs = [(*counts(t), lang) for t, lang in zip(texts, langs) if has_letter(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.int64())), pa.array([p[1] for p in pairs], pa.list_(pa.float32())), pa.array([p[2] for p in pairs], pa.string())], names=["at", "share", "lang"])
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32())), pa.array([p[2] for p in pairs], pa.string())], names=["at", "share", "lang"])
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Ecoc:
@@ -214,16 +227,21 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each = train_docs / len(sizes)
     share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, each / n))])[F.col("lang")]
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).limit(2 * train_docs)
-    got = chosen.select("text", "lang").mapInArrow(_count_rows, "at array<long>, share array<float>, lang string").toArrow()
-    cols = got.column("at").to_pylist(), got.column("share").to_pylist(), got.column("lang").to_pylist()
-    return fit(sorted(((np.array(a), np.array(s, np.float32), lang) for a, s, lang in zip(*cols)), key=lambda r: (r[2], len(r[0]), r[0].tolist(), r[1].tolist())))
+    got = chosen.select("text", "lang").mapInArrow(_count_rows, "at array<int>, share array<float>, lang string").toArrow()
+    at, share = got.column("at").combine_chunks(), got.column("share").combine_chunks()
+    if isinstance(at, pa.ChunkedArray):
+        at, share = pa.concat_arrays(at.chunks), pa.concat_arrays(share.chunks)
+    ends = at.offsets.to_numpy()
+    numbers, shares = at.values.to_numpy().astype(np.int32), share.values.to_numpy()
+    parts = [(numbers[a:b], shares[a:b], lang) for a, b, lang in zip(ends[:-1], ends[1:], got.column("lang").to_pylist())]
+    return fit(sorted(parts, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes())))
 
 
 def predict(df: DataFrame, model: Ecoc, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PREDICTIONS of every row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, flags = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())],
@@ -238,7 +256,7 @@ def keep_identified(df: DataFrame, model: Ecoc, text_col: str = "text") -> DataF
     """The rows of df, all columns, whose text has a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             langs, _, _ = model.predict(batch.column(text_col).to_pylist())
             yield batch.filter(pa.array([x != UND for x in langs], pa.bool_()))
 

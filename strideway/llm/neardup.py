@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import U64, Powers, join_small, mix64, prefix_hash, written
+from strideway.llm.common import U64, Powers, join_small, mix64, prefix_hash, slices, written
 from strideway.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -145,7 +145,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows: list = []
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             rows.append((doc_id, key, shingles(text)))
             size += len(rows[-1][2][0])
@@ -158,7 +158,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, tuple] = {}
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for key, one, other in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
             if key not in known:
