@@ -14,7 +14,7 @@ It is fitted on about TRAIN_DOCS labelled rows a domain, chosen by a hash, whate
 all documents. A hot source or domain is only a larger term of map-side sums. Labels join by id with AQE's skew splitting.
 
 Cases. Null or blank text: 0 tokens, the prior as posterior, rate by it. Null id: never labelled; drawn by its text. Labels repeated for an id: counted
-once each, duplicates folded. No label at all: uniform posteriors. Null label: the row is not learned from. A domain without tokens: it has no term. Repeated rows: equal rates and equal
+once each, duplicates folded. No label at all: uniform posteriors. A domain without labelled rows: its small prior only. Null label: the row is not learned from. A domain without tokens: it has no term. Repeated rows: equal rates and equal
 draws. Long texts: whole, in one row's expression. Empty table: no rows. Columns named like the results raise ValueError; others are carried by ``mixed``.
 """
 
@@ -109,9 +109,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_docs
         p = [(r[f"n{d}"] + 0.5) / (docs[d] + 1.0) if d in live else 0.0 for d in range(k)]
         middle = sum(p) / len(live)
         odds[r["f"]] = [math.log(x / middle) if x else 0.0 for x in p]
-        if sorted(p)[k // 2] < RARE:
+        if sorted(p[d] for d in live)[len(live) // 2] < RARE:
             # where most texts lack a feature its absence counts: summed once into the prior, taken back where it is present
-            absent = [math.log((1 - x) / (1 - middle)) for x in p]
+            # a domain without labelled rows has no evidence either way
+            absent = [math.log((1 - p[d]) / (1 - middle)) if d in live else 0.0 for d in range(k)]
             prior = [prior[d] + absent[d] for d in range(k)]
             odds[r["f"]] = [odds[r["f"]][d] - absent[d] for d in range(k)]
     return Model(prior, odds)
