@@ -71,6 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_normaliser": warc.ORACLE,
-        "op4_cgk_decontamination": op4_cgk_decontamination,
         "op5_chat_segments": chat.oracle(),
     }
