@@ -6,7 +6,9 @@ relative misses of the domains, sum over d of (sum over i of tokens_i p_id r_i -
 step scaled by 1 / tokens_i, so documents of one posterior share one rate. A rate is a fold of the gradients so far over the document's posterior, so
 an iteration is one aggregation of a narrow written table and hands the driver one number a domain.
 
-Target tokens are target weight x total; the total is the largest that no domain has to be repeated for, so that rates up to max_rate = 1 can meet it.
+The good domain is wanted whole. The weights of the others are upper shares: each is wanted up to its weight relative to good's, and whole if it has less, so a
+scarce domain never shrinks the rest, and rates up to max_rate = 1 can meet the targets. A domain without labelled rows has no term, as its posterior is only the
+prior; without labelled good rows there is nothing to measure the others by, and all rates stay at the start.
 A document is taken floor(rate) times, and once more if the hash of its id and text falls below the remainder: the draw is reproducible.
 
 The classifier is a naive Bayes model of present features: words, doubled symbols and levels of repeated words; the FEATURES ones of largest information gain are used.
@@ -14,7 +16,7 @@ It is fitted on about TRAIN_DOCS labelled rows a domain, chosen by a hash, whate
 all documents. A hot source or domain is only a larger term of map-side sums. Labels join by id with AQE's skew splitting.
 
 Cases. Null or blank text: 0 tokens, the prior as posterior, rate by it. Null id: never labelled; drawn by its text. Labels repeated for an id: counted
-once each, duplicates folded. No label at all: uniform posteriors. A domain without labelled rows: its small prior only. Null label: the row is not learned from. A domain without tokens: it has no term. Repeated rows: equal rates and equal
+once each, duplicates folded. No label at all: uniform posteriors, rates 1. A domain without labelled rows: its small prior only, no target. Null label: the row is not learned from. A domain without tokens: it has no term. Repeated rows: equal rates and equal
 draws. Long texts: whole, in one row's expression. Empty table: no rows. Columns named like the results raise ValueError; others are carried by ``mixed``.
 """
 
@@ -44,10 +46,11 @@ ITERATIONS, MOMENTUM, TOLERANCE = 24, 0.6, 1e-3
 
 @dataclass
 class Model:
-    """Log prior and constants by domain; log odds by feature and domain."""
+    """Log prior and constants by domain; log odds by feature and domain; the domains with labelled rows."""
 
     prior: list[float]
     odds: dict[str, list[float]]
+    live: list[int]
 
 
 _RESULTS = ("n_tokens", "rate", "copies", *(f"p_{d}" for d in DOMAINS))
@@ -86,7 +89,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_docs
     sizes = {r["d"]: r["n"] for r in marks.groupBy("d").agg(F.count("*").alias("n")).collect()}
     total, k = sum(sizes.values()), len(DOMAINS)
     if not total:
-        return Model([0.0] * k, {})
+        return Model([0.0] * k, {}, [])
     share = F.create_map(*[x for d, n in sorted(sizes.items()) for x in (F.lit(d), F.lit(min(1.0, train_docs / n)))])[F.col("d")]
     some = marks.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < share * 1_000_003)
     texts = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -95,7 +98,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_docs
     docs = {r["d"]: r["n"] for r in known.groupBy("d").agg(F.count("*").alias("n")).collect()}
     live = sorted(docs)
     if not live:
-        return Model([math.log((sizes.get(d, 0) + 1) / (total + k)) for d in range(k)], {})
+        return Model([math.log((sizes.get(d, 0) + 1) / (total + k)) for d in range(k)], {}, [])
     counts = known.select("d", F.explode("f").alias("f")).groupBy("f").agg(*[F.sum(F.when(F.col("d") == d, 1).otherwise(0)).alias(f"n{d}") for d in live])
     rate = {d: (F.col(f"n{d}") + 0.5) / (docs[d] + 1.0) for d in live}
     mean = sum([rate[d] for d in live[1:]], rate[live[0]]) / len(live)
@@ -115,7 +118,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_docs
             absent = [math.log((1 - p[d]) / (1 - middle)) if d in live else 0.0 for d in range(k)]
             prior = [prior[d] + absent[d] for d in range(k)]
             odds[r["f"]] = [odds[r["f"]][d] - absent[d] for d in range(k)]
-    return Model(prior, odds)
+    return Model(prior, odds, live)
 
 
 def posteriors(df: DataFrame, model: Model, text_col: str) -> DataFrame:
@@ -157,8 +160,8 @@ def _state(steps: list[list[float]], max_rate: float | None) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0) -> tuple[list[list[float]], dict[str, list[float]]]:
-    """(steps for _state, report of tokens, targets and what is reached); table has n_tokens and posteriors."""
+def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0, known: list[int] | None = None) -> tuple[list[list[float]], dict[str, list[float]]]:
+    """(steps for _state, report of tokens, targets and what is reached); table has n_tokens and posteriors. known: the domains with labelled rows, all by default."""
     k = len(DOMAINS)
     names = [f"p_{name}" for name in DOMAINS]
     # a document's rate depends on its posterior only, so equal posteriors are added up first
@@ -166,14 +169,11 @@ def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate:
     mass = [F.col("n_tokens") * F.col(name) for name in names]
     gram = groups.select([F.sum(mass[a] * F.col(names[b])).alias(f"{a}_{b}") for a in range(k) for b in range(k)] + [F.sum(m).alias(f"t{d}") for d, m in enumerate(mass)]).first()
     have = [float(gram[f"t{d}"] or 0) for d in range(k)]
-    live = [d for d in range(k) if have[d] > 0]
-    if not live:
-        return [], {"tokens": have, "target": [0.0] * k, "reached": have}
-    weight = [targets[d] if d in live else 0.0 for d in range(k)]
-    scale = sum(weight) or 1.0
-    weight = [w / scale for w in weight]
-    total = min(have[d] / weight[d] for d in live if weight[d] > 0) if any(weight) else 0.0
-    want = [w * total for w in weight]
+    live = [d for d in range(k) if have[d] > 0 and (known is None or d in known)]
+    if GOOD not in live:
+        return [], {"tokens": have, "target": have, "reached": have if max_rate is None else [h * min(1.0, max_rate) for h in have]}
+    want = [min(have[d], targets[d] / targets[GOOD] * have[GOOD]) if d in live else 0.0 for d in range(k)]
+    total = sum(want)
     # the largest row sum bounds the largest eigenvalue of the scaled Gram matrix, so this step never overshoots
     bound = max(sum((gram[f"{a}_{b}"] or 0.0) / math.sqrt(have[a] * have[b]) for b in live) for a in live)
 
@@ -195,12 +195,14 @@ def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate:
 
 def mixed(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
     """df's columns (or keep) with n_tokens, posteriors, rate and copies."""
+    if targets[GOOD] <= 0:
+        raise ValueError("the good domain needs a target: the others are shares of it")
     if clash := set(_RESULTS) & set(df.columns):
         raise ValueError(f"columns named like results: {sorted(clash)}")
     model = fit(df, labels, id_col, text_col)
     scored = posteriors(df, model, text_col).withColumn("__d", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     scored = written(scored.select(*(keep or df.columns), "n_tokens", *[f"p_{d}" for d in DOMAINS], "__d"), "posteriors")
-    steps, _ = fit_rates(scored, targets, max_rate)
+    steps, _ = fit_rates(scored, targets, max_rate, model.live)
     out = scored.withColumn("rate", _state(steps, max_rate)["r"])
     copies = (F.floor("rate") + F.when(F.col("__d") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
     return out.withColumn("copies", copies).drop("__d")

@@ -85,3 +85,19 @@ def test_edges(spark):
     assert M.report(docs.limit(0), labels).count() == 0
     with pytest.raises(ValueError):
         M.sample(docs.withColumn("rate", F.lit(1)), labels)
+
+
+@pytest.mark.parametrize("toxic", [2, 0])
+def test_a_scarce_domain_leaves_the_others_whole(spark, toxic):
+    """1 % junk and 0.1 % or no toxic rows: the clean documents stay."""
+    kinds = [2 if i < toxic else 0 if i % 100 == 50 else 1 for i in range(2000)]
+    docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k != 0), int(k == 2)) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    rates = {r["doc_id"]: r["rate"] for r in M.report(docs, labels).collect()}
+    clean = [rates[i] for i, k in enumerate(kinds) if k == 1]
+    assert len(rates) == 2000 and np.mean(clean) > 0.99 and min(clean) > 0.9
+
+
+def test_without_labels_all_documents_stay(spark):
+    _, docs, labels = table(spark, 20)
+    assert all(r["rate"] == 1 and r["copies"] == 1 for r in M.report(docs, labels.limit(0)).collect())
