@@ -6,11 +6,12 @@ Texts and items are sequences of words (lower-cased, split at ASCII white space)
 CGK: a walk copies the word it stands on and steps on or stays, as a random bit for (repeat, step, word) says; sequences at a small edit distance then
 agree in most steps, since walks that have met stay together until the next edit. A repeat samples SAMPLES steps of the walk over an
 item-sized window; equal samples make window and item a candidate. REPEATS repeats find an item at the limit of its edits with probability TARGET or more (the tests
-measure it). Items are taken in classes of similar length, so that samples spread over the whole window. A candidate is verified by the exact
-edit distance of the item to the best stretch near the window.
+measure it by length). Walks drift further apart the longer they are, so items of more than TILE words are looked up by tiles of equal length: of t tiles at least one
+has at most a t-th of the edits, and it is found as an item of its length is. Tiles are taken in classes of similar length, so that samples spread over the whole
+window. A candidate is verified by the exact edit distance of the whole item to the best stretch near where the tile's window puts it.
 
 Windows start at every word of a document that can be the start of a match at all: a stretch within k edits of an item of L words
-has at least L - 2 - 3k of its three-word grams (the q-gram lemma), so windows with fewer benchmark grams are passed over without loss.
+has at least L - 2 - 3k of its three-word grams (the q-gram lemma; the same for a tile and its share of the edits), so windows with fewer benchmark grams are passed over without loss.
 
 The benchmark is the stated query set: it goes to the executors in blocks of at most BLOCK items, and each block passes over all documents, one document at a
 time, so neither hot sources nor copies matter and nothing is shuffled.
@@ -34,6 +35,8 @@ from strideway.llm.common import U64, Powers, mix64, prefix_hash, slices
 
 SHARE, MIN_WORDS, GRAM = 0.15, 5, 3
 SAMPLES, REPEATS, TARGET = 4, 32, 0.95
+#: Words of an item that are looked up as one; up to this length SAMPLES and REPEATS hold TARGET.
+TILE = 60
 BLOCK = 20_000
 MATCHES = "doc_id long, item_id long, n_edits long, start_word long, n_words long"
 _Q = U64(0x9FB21C651E98DF25)
@@ -96,7 +99,7 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class SizeClass:
-    """Items of similar length with the LSH tables of each repeat."""
+    """Tiles of similar length with the LSH tables of each repeat."""
 
     least: int
     most: int
@@ -104,7 +107,7 @@ class SizeClass:
     reach: int
     seeds: np.ndarray  # repeats x steps
     picks: np.ndarray  # sampled steps by repeat
-    tables: list[tuple[np.ndarray, np.ndarray]]  # sorted keys, item numbers
+    tables: list[tuple[np.ndarray, np.ndarray]]  # sorted keys, tile numbers
 
 
 def walk_keys(w: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray, picks: np.ndarray) -> np.ndarray:
@@ -126,7 +129,7 @@ def walk_keys(w: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.nda
 
 
 class Benchmark:
-    """Items prepared for scanning: gram table and size classes."""
+    """Items prepared for scanning: gram table, tiles and size classes of tiles."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
@@ -136,31 +139,40 @@ class Benchmark:
         self.grams = np.unique(np.concatenate(all_grams)) if all_grams else np.zeros(0, U64)
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[self.grams >> U64(64 - _BITS)] = True
+        # (item number, first word, words, edits) of each tile
+        self.tiles: list[tuple[int, int, np.ndarray, int]] = []
+        for i, (_, w) in enumerate(self.items):
+            t = -(-len(w) // TILE)
+            cuts = [len(w) * j // t for j in range(t + 1)]
+            self.tiles += [(i, low, w[low:high], max_edits(len(w)) // t) for low, high in zip(cuts, cuts[1:])]
+        self.tile_item = np.array([x[0] for x in self.tiles], np.int64)
+        self.tile_first = np.array([x[1] for x in self.tiles], np.int64)
         self.classes: list[SizeClass] = []
-        order = sorted(range(len(self.items)), key=lambda k: len(self.items[k][1]))
+        order = sorted(range(len(self.tiles)), key=lambda k: len(self.tiles[k][2]))
         while order:
-            least = len(self.items[order[0]][1])
+            least = len(self.tiles[order[0]][2])
             most = max(least, int(least * 1.2))
-            mine = [k for k in order if len(self.items[k][1]) <= most]
+            mine = [k for k in order if len(self.tiles[k][2]) <= most]
             order = order[len(mine) :]
             # a walk of 2 n steps has come to about the end of n words
             steps = 2 * least
             seeds = rng.integers(0, 1 << 63, (REPEATS, steps), dtype=np.uint64) * U64(2) + U64(1)
             picks = np.array([np.sort(rng.choice(steps, min(SAMPLES, steps), replace=False)) for _ in range(REPEATS)])
-            lengths = [len(self.items[k][1]) for k in mine]
-            need = min(n - GRAM + 1 - GRAM * max_edits(n) for n in lengths)
-            flat = np.concatenate([self.items[k][1] for k in mine])
+            lengths = [len(self.tiles[k][2]) for k in mine]
+            edits = [self.tiles[k][3] for k in mine]
+            need = min(n - GRAM + 1 - GRAM * e for n, e in zip(lengths, edits))
+            flat = np.concatenate([self.tiles[k][2] for k in mine])
             ends = np.cumsum(lengths)
             tables = []
-            # items and windows are cut to the class's least length, so that both end alike
+            # tiles and windows are cut to the class's least length, so that both end alike
             for keys in walk_keys(flat, ends - lengths, ends - lengths + least, seeds, picks):
                 by = np.argsort(keys, kind="stable")
                 tables.append((keys[by], np.array(mine)[by]))
-            self.classes.append(SizeClass(least, max(lengths), need, max(lengths) + max_edits(max(lengths)), seeds, picks, tables))
+            self.classes.append(SizeClass(least, max(lengths), need, max(n + e for n, e in zip(lengths, edits)), seeds, picks, tables))
 
     def candidates(self, w: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
-        """Rows (item number, start) of windows that share a sample with an item; doc_ends: each word's document's end."""
-        none = np.zeros((0, 2), np.int64)
+        """Rows (item number, where it would start, window's start) of windows that share a sample with a tile; doc_ends: each word's document's end."""
+        none = np.zeros((0, 3), np.int64)
         g = grams(w)
         at = np.flatnonzero(self.bitmap[g >> U64(64 - _BITS)])
         if len(at):
@@ -181,13 +193,14 @@ class Benchmark:
             starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             for base in range(0, len(starts), _WINDOWS):
                 some = starts[base : base + _WINDOWS]
-                for keys, (table, item) in zip(walk_keys(w, some, np.minimum(some + k.least, doc_ends[some]), k.seeds, k.picks), k.tables):
+                for keys, (table, tile) in zip(walk_keys(w, some, np.minimum(some + k.least, doc_ends[some]), k.seeds, k.picks), k.tables):
                     lo, hi = np.searchsorted(table, keys), np.searchsorted(table, keys, side="right")
                     met = np.flatnonzero(hi > lo)
                     if len(met):
                         counts = (hi - lo)[met]
                         inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - lo[met], counts)
-                        out.append(np.stack([item[inner], np.repeat(some[met], counts)], 1))
+                        which, start = tile[inner], np.repeat(some[met], counts)
+                        out.append(np.stack([self.tile_item[which], start - self.tile_first[which], start], 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -206,13 +219,13 @@ class Benchmark:
         first = np.searchsorted(at, np.cumsum(sizes) - sizes)  # each text's first word
         ends = np.concatenate([first[1:], [len(w)]])
         found = self.candidates(w, np.repeat(ends, ends - first))
-        docs = np.searchsorted(first, found[:, 1], side="right") - 1
+        docs = np.searchsorted(first, found[:, 2], side="right") - 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for (i, s), d in zip(found.tolist(), docs.tolist()):
+        for (i, s, _), d in zip(found.tolist(), docs.tolist()):
             item = self.items[i][1]
             k = max_edits(len(item))
-            if s <= done.get((d, i), -1):
+            if s <= done.get((d, i), s - 1):
                 continue  # the stretch that was compared before holds all that starts here
             done[d, i] = s + k
             low, high = max(int(first[d]), s - 2 * k), min(int(ends[d]), s + len(item) + 3 * k + 1)

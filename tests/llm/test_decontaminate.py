@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from strideway.llm import decontaminate as D
 
@@ -93,3 +94,23 @@ def test_query_against_brute_force(spark):
     small = D.find_items(df, bench, block=7)
     assert sorted((r["doc_id"], r["item_id"]) for r in small.filter("doc_id IS NOT NULL AND item_id IS NOT NULL").collect()) == sorted((a, b) for a, b in have if a is not None and b is not None)
     assert D.find_items(df.limit(0), bench).count() == 0 and D.find_items(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [15, 30, 60, 61, 120, 200, 300, 500])
+def test_recall_by_length(n):
+    rng = random.Random(n)
+    RNG.seed(n)
+    items = [(i, " ".join(rng.choice(COMMON) if rng.random() < 0.4 else "".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))) for i in range(20)]
+    bench = D.Benchmark(items)
+    found = total = 0
+    for i, t in items:
+        for k in range(5):
+            w = t.split()
+            part = edited(w, D.max_edits(n))
+            # also at either end of a document
+            text = passage(80 * (k > 0)) + part + passage(80 * (k < 4))
+            got = {bench.items[m[0]][0]: m for m in bench.matches(" ".join(text))}
+            total += 1
+            found += i in got
+            assert set(got) <= {i} and all(m[1] == levenshtein_in(w, text[m[2] : m[2] + m[3]]) <= D.max_edits(n) for m in got.values())
+    assert found / total >= D.TARGET, found / total
