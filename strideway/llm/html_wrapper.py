@@ -7,7 +7,8 @@ template, the nodes whose words vary are slots. The wrapper is the aligned tree
 texts and the path of its content region: the article or main element, or else the node that holds most of the
 varying words outside furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, known
 by element, role or class). Each page is then aligned with its host's wrapper: blocks inside the region
-are kept unless they are furniture or template texts. A page that doesn't fit the wrapper, or whose host has no other
+are kept unless they are furniture or template texts. Inside an article or main element nothing is taken for template: a few pages that share a sentence don't
+show that it isn't the article's. A page that doesn't fit the wrapper, or whose host has no other
 page, is its own wrapper.
 
 Only the sample is grouped by host: SAMPLES pages at most, one for each residue of a hash, chosen by a
@@ -55,6 +56,7 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - {"option", "html", "head", "body"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("html body article section div ul ol dl table td th main nav aside form fieldset blockquote".split())
+_ARTICLE = frozenset(("article", "main"))
 _FURNITURE_TAGS = frozenset("nav aside footer form button select dialog menu search head".split())
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _FURNITURE = re.compile(
@@ -390,15 +392,16 @@ class Wrapper:
         return cls(top, path)
 
 
-def _emit(run: Run, slot: Wrapper | None, out: list[str], memo: dict) -> None:
-    """The blocks under a run of the content region, without furniture and template texts."""
+def _emit(run: Run, slot: Wrapper | None, out: list[str], memo: dict, article: bool = False) -> None:
+    """The blocks under a run of the content region, without furniture and, outside article and main elements, template texts."""
     if run.furniture or (slot is not None and slot.furniture):
         return
-    out += [t for t in run.texts if slot is None or t not in slot.constant]
+    article = article or run.tag in _ARTICLE
+    out += [t for t in run.texts if slot is None or article or t not in slot.constant]
     if run.children:
         pairs = dict((j, i) for i, j in matching(slot.children, run.children, memo)[1]) if slot is not None and slot.children else {}
         for j, c in enumerate(run.children):
-            _emit(c, slot.children[pairs[j]] if j in pairs else None, out, memo)
+            _emit(c, slot.children[pairs[j]] if j in pairs else None, out, memo, article)
 
 
 def blocks(page: Run, wrapper: Wrapper | None) -> list[str]:
@@ -406,14 +409,15 @@ def blocks(page: Run, wrapper: Wrapper | None) -> list[str]:
     memo: dict = {}
     out: list[str] = []
     if wrapper is not None:
-        run, slot = page, wrapper
+        run, slot, article = page, wrapper, False
         for k in wrapper.path:
             pairs = {i: j for i, j in matching(slot.children, run.children, memo)[1]}
             if k not in pairs:
                 break
             slot, run = slot.children[k], run.children[pairs[k]]
+            article = article or run.tag in _ARTICLE
         else:
-            _emit(run, slot, out, memo)
+            _emit(run, slot, out, memo, article)
             if out:
                 return out
     run = page

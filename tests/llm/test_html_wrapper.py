@@ -57,3 +57,11 @@ def test_query(spark):
     assert by[101][0]["text"] == "Same notice on all pages.\nlone page with words that are long"
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_shared_sentences_of_articles_stay():
+    shared = "The same sentence is a part of all three articles."
+    for tag in ("article", "main"):
+        pages = [f"<html><body><nav><a>m</a></nav><{tag}><div><p>{shared}</p><p>Words of page {k} that stand on no other page.</p></div></{tag}></body></html>" for k in range(3)]
+        wrapper = H.Wrapper.load(H.induce(pages))
+        assert H.main_text(pages[1], wrapper) == f"{shared}\nWords of page 1 that stand on no other page."
