@@ -3,6 +3,7 @@ import pytest
 
 from strideway.operators.paths import PathSet
 from strideway.operators.render import to_html, to_tikz
+from strideway.operators.temporal import TemporalEdges
 from strideway.sources import files
 
 
@@ -51,3 +52,12 @@ def test_temporal(spark, tmp_path):
     files.write_temporal(t, str(tmp_path / "t"))
     assert "tikzpicture" in to_tikz(t) and "svg" in to_html(t)
     assert '"weight"' in to_html(PathSet.of(spark, X.NGRAMS))
+
+
+def test_pictures_of_too_many_edges_raise(spark, monkeypatch):
+    monkeypatch.setattr("strideway.operators.render.MOST", 2)
+    t = TemporalEdges(spark.createDataFrame([("a", "b", 1, 1), ("b", "c", 2, 2), ("c", "d", 3, 3)], "src string, dst string, t long, seq long"))
+    for draw in (to_html, to_tikz):
+        with pytest.raises(ValueError):
+            draw(t)
+        assert draw(TemporalEdges(t.edges.limit(2)))
