@@ -46,7 +46,8 @@ def corpus():
 def test_against_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame([(i if i % 5 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, g int").repartition(5)
-    got = repeats.remove_repeats(df).collect()
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = repeats.remove_repeats(df).select(columns).collect()
     want = [(i if i % 5 else None, *b) for i, b in enumerate(brute(texts))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert repeats.remove_repeats(df.limit(0)).count() == 0
@@ -71,3 +72,44 @@ def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 100).astype(np.uint64)
     for w in (1, 3, 100):
         assert (repeats.sliding_min(x, w) == [x[i : i + w].min() for i in range(101 - w)]).all()
+
+
+def brute_shared(texts, n=repeats.PASSAGE):
+    words = [(t or "").split() for t in texts]
+    owners = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[i : i + n]), set()).add(d)
+    out = []
+    for w in words:
+        hit = set()
+        for i in range(len(w) - n + 1):
+            if len(owners[tuple(w[i : i + n])]) > 1:
+                hit |= set(range(i, i + n))
+        out.append(len(hit))
+    return out
+
+
+def shared_corpus():
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    hot, own, lone = text(55), text(60), text(120)
+    out = [text(rng.randint(1, 90)) + " " + hot + " " + text(rng.randint(1, 90)) for _ in range(15)]
+    out += [f"{own} {text(5)} {own}", f"{own} {own}", text(30) + " " + own[:200] + " " + text(9), None, "", "w " * 49, "v " * 49, "w " * 50, "u " * 400]
+    out += [lone, lone, lone + " and more", "\n".join(lone.split()), text(49), text(300)]
+    for n in (49, 50, 51):
+        same = text(n)
+        out += [f"{text(3)} {same} {text(4)}", f"{text(60)} {same}"]
+    out += [out[-1], f"{hot} {hot} {hot}"]
+    return out
+
+
+def test_shared_passages_against_brute_force(spark):
+    texts = shared_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(df).collect()}
+    want = brute_shared(texts)
+    assert [got[i]["n_shared_words"] for i in range(len(texts))] == want
+    assert all(got[i]["shares_passage"] == (n > 0) for i, n in enumerate(want))
+    # a text that repeats only itself shares nothing; a passage of 55 words under 400 bytes is found, not removed
+    assert want[15] > 0 and want[23] == 0 and sum(w > 0 and got[i]["n_removed"] == 0 for i, w in enumerate(want)) > 10
