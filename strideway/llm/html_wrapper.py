@@ -1,15 +1,19 @@
 """HTML main-text extraction by wrapper induction.
 
-Pages are parsed to trees and folded: consecutive siblings of one label form a run, so a list or
+Pages are parsed to trees and folded: consecutive siblings of one label (element and classes, page numbers in them aside) form a run, so a list or
 the paragraphs of an article are one node. Up to SAMPLES pages of a host are aligned by simple tree matching (the
-largest order-preserving mapping of nodes with equal labels); what all of them say at a node is
-template, the nodes whose words vary are slots. The wrapper is the aligned tree with the template's
-texts and the path of its content region: the article or main element, or else the node that holds most of the
-varying words outside furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, known
-by element, role or class). Each page is then aligned with its host's wrapper: blocks inside the region
-are kept unless they are furniture or template texts. Inside an article or main element nothing is taken for template: a few pages that share a sentence don't
-show that it isn't the article's. A page that doesn't fit the wrapper, or whose host has no other
-page, is its own wrapper.
+largest order-preserving mapping of nodes with equal labels). A node that says the same on all of them that have it (LEAST at least), with all below it, is
+template; the nodes whose words vary are slots. The content region is where the slots are: from the root, the child that holds most of the varying words outside
+links is entered, until headings, paragraphs or text of their own vary beside it. No element or class name leads there.
+
+Each page is then aligned with its host's wrapper and says what the region holds, without
+* what template nodes say (headings, paragraphs and list items of an article or main element stay even so: pages that share a sentence don't show that it isn't the article's),
+* nodes labelled like those that the wrapper has outside the region (an advert between paragraphs as in the margin),
+* menus, sidebars, forms, footers and dialogs by element or role (nav, aside, form, footer, ...), hidden ones, and blocks whose class or id is exactly one of STRICT: adverts
+  and reader comments vary from page to page as articles do, so no alignment tells them apart.
+
+A page that doesn't fit the wrapper, or whose host has too few, is its own wrapper: its region is its article or main element, or else is found by the same descent over all
+its words. Only outside a region are class and id words (_HINTS) taken as signs of menus, notices, adverts and the like.
 
 Only the sample is grouped by host: SAMPLES pages at most, one for each residue of a hash, chosen by a
 map-side minimum. The pages themselves aren't grouped, so a host with a third of all pages costs nothing extra.
@@ -37,6 +41,8 @@ from strideway.llm.common import join_small
 SAMPLES, LEAST = 8, 3
 #: Open elements that a tree nests; the texts of deeper ones count to the deepest of these.
 DEPTH = 150
+#: Classes and ids of adverts and reader comments inside a content region, whole words of a block's class or id.
+STRICT = frozenset("ad ads advert advertisement comments comment-list commentlist comments-area disqus_thread".split())
 TEXTS = "page_id long, url string, text string, n_chars long, host string, by_wrapper boolean"
 
 _TOKEN = re.compile(
@@ -59,7 +65,7 @@ _SCOPE = frozenset("html body article section div ul ol dl table td th main nav
 _ARTICLE = frozenset(("article", "main"))
 _FURNITURE_TAGS = frozenset("nav aside footer form button select dialog menu search head".split())
 _FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_FURNITURE = re.compile(
+_HINTS = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|"
     r"side-?bar\w*|menu\w*|nav\w*|breadcrumb\w*|pagination|pager|foot(?:er)?|site-?header|page-?header|masthead|topbar|comments?|comment-\w+|commentlist|disqus\w*|respond|repl(?:y|ies)|"
     r"related\w*|recommend\w*|share\w*|sharing|social\w*|widget\w*|toolbar|skip-?link\w*|login|signup|search\w*)(?:$|[-_\s])",
@@ -67,11 +73,18 @@ _FURNITURE = re.compile(
 )
 
 
+_FLOW = frozenset("#text p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address hgroup".split())
+#: Numbers of a page in its classes, such as post-123.
+_DIGITS = re.compile(r"(?<=[-_])\d+|\d{3,}")
+
+
 class Node:
-    __slots__ = ("tag", "label", "furniture", "children", "block")
+    """hint: 2 for a class or id of STRICT, 1 for one of _HINTS, else 0."""
+
+    __slots__ = ("tag", "label", "furniture", "hint", "children", "block")
 
-    def __init__(self, tag: str, label: str, furniture: bool) -> None:
-        self.tag, self.label, self.furniture, self.children, self.block = tag, label, furniture, [], tag in _BLOCK
+    def __init__(self, tag: str, label: str, furniture: bool, hint: int = 0) -> None:
+        self.tag, self.label, self.furniture, self.hint, self.children, self.block = tag, label, furniture, hint, [], tag in _BLOCK
 
 
 def parse(page: str) -> Node:
@@ -127,26 +140,25 @@ def parse(page: str) -> Node:
                             break
                     elif t in ("ul", "ol", "dl", "table", "select", "menu", "nav", "article"):
                         break
-            label, furniture = tag, tag in _FURNITURE_TAGS
+            label, furniture, hint = tag, tag in _FURNITURE_TAGS, 0
             if tag == "header":
                 furniture = not any(s.tag in ("article", "main") for s in stack)
             if attrs and "=" in attrs or "hidden" in attrs:
                 cls = ""
                 for a in _ATTR.finditer(attrs):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
-                    if name == "class":
-                        cls = ".".join(sorted(value.split()))
-                        furniture = furniture or bool(_FURNITURE.search(value))
-                    elif name == "id":
-                        furniture = furniture or bool(_FURNITURE.search(value))
+                    if name in ("class", "id"):
+                        if name == "class":
+                            cls = ".".join(sorted({_DIGITS.sub("#", x) for x in value.split()}))
+                        hint = max(hint, 2 if not STRICT.isdisjoint(value.lower().split()) else 1 if _HINTS.search(value) else 0)
                     elif name == "role":
                         furniture = furniture or value.lower() in _FURNITURE_ROLES
                     elif name == "hidden" or value.lower() == "true":
                         furniture = True
                 label = f"{tag}.{cls}" if cls else tag
             if tag in ("html", "body", "main", "article"):
-                furniture = False
-            node = Node(tag, label, furniture)
+                furniture, hint = False, 0
+            node = Node(tag, label, furniture, hint)
             stack[-1].children.append(node)
             if not attrs.rstrip().endswith("/") or tag in _BLOCK:
                 if len(stack) < DEPTH:
@@ -170,10 +182,10 @@ def parse(page: str) -> Node:
 class Run:
     """Consecutive siblings of one label. A leaf run has the texts of its blocks, another one has child runs."""
 
-    __slots__ = ("label", "tag", "furniture", "texts", "linked", "children")
+    __slots__ = ("label", "tag", "furniture", "hint", "texts", "linked", "children")
 
-    def __init__(self, label: str, tag: str, furniture: bool) -> None:
-        self.label, self.tag, self.furniture = label, tag, furniture
+    def __init__(self, label: str, tag: str, furniture: bool, hint: int = 0) -> None:
+        self.label, self.tag, self.furniture, self.hint = label, tag, furniture, hint
         self.texts: list[str] = []
         self.linked = 0
         self.children: list[Run] = []
@@ -200,10 +212,11 @@ def _has_block(node: Node, memo: dict[int, bool]) -> bool:
     return memo[k]
 
 
-def fold(nodes: list[Node], label: str, tag: str, furniture: bool, memo: dict[int, bool]) -> Run:
+def fold(nodes: list[Node], memo: dict[int, bool]) -> Run:
     """The run of sibling nodes of one label, with everything below them."""
-    run = Run(label, tag, furniture)
-    groups: list[tuple[str, str, bool, list[Node], list[str]]] = []
+    kind = lambda n: (n.label, n.tag, n.furniture, n.hint)
+    run = Run(*kind(nodes[0]))
+    groups: list[list[Node] | Run] = []
 
     def text(parts: list[str], linked: int) -> None:
         words = " ".join("".join(parts).split())
@@ -212,7 +225,7 @@ def fold(nodes: list[Node], label: str, tag: str, furniture: bool, memo: dict[in
             leaf = Run("#text", "#text", False)
             leaf.texts.append(words)
             leaf.linked = linked
-            groups.append(("#text", "#text", False, [], [leaf]))
+            groups.append(leaf)
 
     def walk(node: Node, parts: list[str]) -> int:
         """Children in order: inline ones add to parts, blocks end them."""
@@ -223,10 +236,10 @@ def fold(nodes: list[Node], label: str, tag: str, furniture: bool, memo: dict[in
             elif c.block:
                 text(parts, linked)
                 linked = 0
-                if groups and groups[-1][0] == c.label and groups[-1][2] == c.furniture and groups[-1][3]:
-                    groups[-1][3].append(c)
+                if groups and isinstance(groups[-1], list) and kind(groups[-1][0]) == kind(c):
+                    groups[-1].append(c)
                 else:
-                    groups.append((c.label, c.tag, c.furniture, [c], []))
+                    groups.append([c])
             elif c.furniture:
                 continue
             elif _has_block(c, memo):
@@ -248,14 +261,12 @@ def fold(nodes: list[Node], label: str, tag: str, furniture: bool, memo: dict[in
                 run.linked += linked
         else:
             text(parts, linked)
-    for lab, tg, fur, members, leaves in groups:
-        run.children.append(leaves[0] if leaves else fold(members, lab, tg, fur, memo))
+    run.children = [fold(g, memo) if isinstance(g, list) else g for g in groups]
     return run
 
 
 def page_runs(page: str) -> Run:
-    root = parse(page)
-    return fold([root], "#root", "#root", False, {})
+    return fold([parse(page)], {})
 
 
 def matching(a: list, b: list, memo: dict) -> tuple[int, list[tuple[int, int]]]:
@@ -291,20 +302,21 @@ def score(a, b, memo: dict) -> int:
 
 
 class Slot:
-    """A node of a wrapper: texts that all pages say here, and how many words vary."""
+    """A node of a wrapper: texts that all pages say here, whether it is the same on all pages, and how many characters it has outside links."""
 
-    __slots__ = ("label", "tag", "furniture", "constant", "pages", "varying", "children")
+    __slots__ = ("label", "tag", "furniture", "hint", "constant", "pages", "same", "first", "chars", "children")
 
     def __init__(self, run: Run) -> None:
-        self.label, self.tag, self.furniture = run.label, run.tag, run.furniture
-        self.constant, self.pages = set(run.texts), 1
-        self.varying = sum(map(len, run.texts)) - run.linked
+        self.label, self.tag, self.furniture, self.hint = run.label, run.tag, run.furniture, run.hint
+        self.constant, self.pages, self.same, self.first = set(run.texts), 1, True, run.texts
+        self.chars = sum(map(len, run.texts)) - run.linked
         self.children = [Slot(c) for c in run.children]
 
     def merge(self, run: Run, memo: dict) -> None:
         self.pages += 1
         self.constant &= set(run.texts)
-        self.varying += sum(len(t) for t in run.texts if t not in self.constant) - run.linked
+        self.same = self.same and run.texts == self.first
+        self.chars += sum(map(len, run.texts)) - run.linked
         _, pairs = matching(self.children, run.children, memo)
         met = dict((j, i) for i, j in pairs)
         out, at = [], 0
@@ -319,41 +331,50 @@ class Slot:
                 out.append(Slot(r))
         self.children = out + self.children[at:]
 
+    def template(self) -> bool:
+        """Whether LEAST pages or more have this node and all of them say the same in it."""
+        return self.pages >= LEAST and self.same and all(c.pages == self.pages and c.template() for c in self.children)
 
-def _mass(slot, furniture: bool = False) -> int:
-    if slot.furniture or furniture:
-        return 0
-    own = slot.varying if isinstance(slot, Slot) else sum(map(len, slot.texts)) - slot.linked
-    return max(0, own) + sum(_mass(c) for c in slot.children)
 
+def _mass(node) -> int:
+    """Varying characters of a slot, or characters of a run, outside links, furniture and hinted blocks."""
+    if node.furniture or node.hint:
+        return 0
+    if isinstance(node, Slot):
+        own = 0 if node.same and node.pages > 1 else node.chars - node.pages * sum(map(len, node.constant)) if node.pages > 1 else node.chars
+    else:
+        own = sum(map(len, node.texts)) - node.linked
+    return max(0, own) + sum(_mass(c) for c in node.children)
 
-def region(top) -> list[int]:
-    """The child positions that lead from a wrapper's or page's root to its content region."""
 
-    def named(node, path: list[int]) -> list[tuple[int, list[int]]]:
-        if node.furniture:
-            return []
-        if node.tag in ("article", "main"):
-            inner = [x for k, c in enumerate(node.children) for x in named(c, [*path, k])] if node.tag == "main" else []
-            return inner or [(_mass(node), path)]
-        return [x for k, c in enumerate(node.children) for x in named(c, [*path, k])]
-
-    if found := named(top, []):
-        best = max(found, key=lambda x: x[0])
-        if best[0]:
-            return best[1]
-    path, node = [], top
+def descent(node) -> list[int]:
+    """The child positions that lead from a wrapper's or page's root to where its words are."""
+    path: list[int] = []
     while node.children:
         masses = [_mass(c) for c in node.children]
-        total = _mass(node)
         k = max(range(len(masses)), key=masses.__getitem__)
-        if not total or masses[k] < 0.7 * total or not node.children[k].children:
+        child = node.children[k]
+        beside = any(m and c.tag in _FLOW for c, m in zip(node.children, masses) if c is not child)
+        if beside or child.tag in _FLOW or not masses[k] or masses[k] < 0.7 * _mass(node):
             break
         path.append(k)
-        node = node.children[k]
+        node = child
     return path
 
 
+def own_region(page: Run) -> list[int]:
+    """The region of a page without a wrapper: its fullest article or main element, or else by descent."""
+
+    def named(node: Run, path: list[int]) -> list[tuple[int, list[int]]]:
+        if node.furniture or node.hint:
+            return []
+        inner = [x for k, c in enumerate(node.children) for x in named(c, [*path, k])] if node.tag != "article" else []
+        return inner or ([(_mass(node), path)] if node.tag in _ARTICLE else [])
+
+    best = max(named(page, []), key=lambda x: x[0], default=(0, []))
+    return best[1] if best[0] else descent(page)
+
+
 def induce(pages: list[str]) -> str | None:
     """The wrapper of a host's pages as JSON, None if fewer than LEAST of them differ in what they say."""
     seen, trees = set(), []
@@ -365,43 +386,65 @@ def induce(pages: list[str]) -> str | None:
             trees.append(tree)
     if len(trees) < LEAST:
         return None
-    top, memo = Slot(trees[0]), {}
+    top = Slot(trees[0])
     for t in trees[1:]:
         top.merge(t, {})
-    del memo
-    n = len(trees)
+    path, outside = descent(top), set()
 
     def dump(s: Slot) -> list:
-        constant = sorted(s.constant) if s.pages == n else []
-        return [s.label, s.tag, int(s.furniture), constant, [dump(c) for c in s.children]]
-
-    return json.dumps([region(top), dump(top)], ensure_ascii=False)
+        return [s.label, s.tag, sorted(s.constant) if s.template() else None, [dump(c) for c in s.children]]
+
+    def labels(s: Slot, way: list[int] | None) -> None:
+        """Classed blocks outside the region; way: the rest of the path to it, None off it."""
+        if way is None and "." in s.label and s.tag not in _FLOW:
+            outside.add(s.label)
+        for k, c in enumerate(s.children):
+            if way is None or k != way[0]:
+                labels(c, None)
+            elif way[1:]:
+                labels(c, way[1:])
+
+    if path:
+        labels(top, path)
+        node = top
+        for k in path:  # a label on the way to the region says nothing against it
+            node = node.children[k]
+            outside.discard(node.label)
+    return json.dumps([path, sorted(outside), dump(top)], ensure_ascii=False)
 
 
 class Wrapper:
-    __slots__ = ("label", "tag", "furniture", "constant", "children", "path")
+    """constant: a template node's texts, None for a slot; path and outside at the root: the way to the region, labels of blocks beside it."""
+
+    __slots__ = ("label", "tag", "constant", "children", "path", "outside")
 
-    def __init__(self, data: list, path: list[int] | None = None) -> None:
-        self.label, self.tag, self.furniture = data[0], data[1], bool(data[2])
-        self.constant, self.path = frozenset(data[3]), path
-        self.children = [Wrapper(c) for c in data[4]]
+    def __init__(self, data: list, path: list[int] | None = None, outside: list[str] | None = None) -> None:
+        self.label, self.tag = data[0], data[1]
+        self.constant, self.path, self.outside = None if data[2] is None else frozenset(data[2]), path, frozenset(outside or ())
+        self.children = [Wrapper(c) for c in data[3]]
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        path, top = json.loads(text)
-        return cls(top, path)
+        path, outside, top = json.loads(text)
+        return cls(top, path, outside)
 
 
-def _emit(run: Run, slot: Wrapper | None, out: list[str], memo: dict, article: bool = False) -> None:
-    """The blocks under a run of the content region, without furniture and, outside article and main elements, template texts."""
-    if run.furniture or (slot is not None and slot.furniture):
+def _emit(run: Run, slot: Wrapper | None, out: list[str], memo: dict, least: int, outside: frozenset = frozenset(), article: bool = False) -> None:
+    """The blocks under a run, without furniture, blocks hinted at by `least` or more, those labelled as outside the region, and template."""
+    if run.furniture or run.hint >= least or run.label in outside:
         return
     article = article or run.tag in _ARTICLE
-    out += [t for t in run.texts if slot is None or article or t not in slot.constant]
+    constant = slot.constant if slot is not None and not (article and run.tag in _FLOW) else None
+    out += [t for t in run.texts if constant is None or t not in constant]
     if run.children:
         pairs = dict((j, i) for i, j in matching(slot.children, run.children, memo)[1]) if slot is not None and slot.children else {}
         for j, c in enumerate(run.children):
-            _emit(c, slot.children[pairs[j]] if j in pairs else None, out, memo, article)
+            _emit(c, slot.children[pairs[j]] if j in pairs else None, out, memo, least, outside, article)
+
+
+def _least(run: Run) -> int:
+    """Inside a content region only STRICT names count; where the region is the page itself, all hints do."""
+    return 1 if run.tag in ("#root", "html", "body") else 2
 
 
 def blocks(page: Run, wrapper: Wrapper | None) -> list[str]:
@@ -417,13 +460,13 @@ def blocks(page: Run, wrapper: Wrapper | None) -> list[str]:
             slot, run = slot.children[k], run.children[pairs[k]]
             article = article or run.tag in _ARTICLE
         else:
-            _emit(run, slot, out, memo, article)
+            _emit(run, slot, out, memo, _least(run), wrapper.outside, article)
             if out:
                 return out
     run = page
-    for k in region(page):
+    for k in own_region(page):
         run = run.children[k]
-    _emit(run, None, out, memo)
+    _emit(run, None, out, memo, _least(run))
     return out
 
 
