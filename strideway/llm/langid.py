@@ -7,8 +7,8 @@ logistic loss against the margins, bits weighted by how well their classifier di
 text whose two nearest codewords are close is flagged as ambiguous.
 
 Up to EXHAUSTIVE languages take the exhaustive code (every split once), more take the best of some seeded random codes.
-Classifiers are fitted on a bounded sample: about TRAIN_DOCS labelled rows in all, the same number a language,
-chosen by a hash and cut at twice the number; only the sparse counts of those rows reach the driver. Prediction
+Classifiers are fitted on a bounded sample: about TRAIN_DOCS different labelled texts in all, the same number a language,
+chosen by a hash of the text; only their sparse counts reach the driver. Prediction
 reads whole texts, once, with a model of some hundred kB.
 
 Cases. Null text, or one without a letter: ``und``, score 0. No labelled row: all ``und``. One learned language: it, score 1.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from strideway.llm.common import slices
 
-#: Rows that the classifiers are fitted on, in expectation; at most twice as many.
-TRAIN_DOCS = 3000
+#: Labelled texts that the classifiers are fitted on, in expectation; the seed of their choice.
+TRAIN_DOCS, TRAIN_SEED = 3000, 5
 DIMS, TRAIN_DIMS = 1 << 13, 2048
 EXHAUSTIVE = 5
 STEPS = 60
@@ -40,7 +40,8 @@ AMBIGUOUS = 0.5
 UND = "und"
 PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Word characters that aren't decimal digits: letters, and some numbers that str.isalpha tells from letters.
+_MAYBE = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if chr(c).isalpha() and c < 128 or c >= 128 else 32 for c in range(256))
 
 
@@ -64,7 +65,8 @@ def codebook(n: int, seed: int = 7) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    """Whether a character of Unicode's categories L* occurs; digits of any kind (superscripts, fractions, circled ones) aren't letters."""
+    return text is not None and any(m[0].isalpha() for m in _MAYBE.finditer(text))
 
 
 def _clean(text: str) -> np.ndarray:
@@ -226,7 +228,9 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return fit([])
     each = train_docs / len(sizes)
     share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, each / n))])[F.col("lang")]
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).limit(2 * train_docs)
+    # by the hash of the text, and each chosen text once: the sample is the same for any plan, and a hot group of copies is one row
+    rows = rows.withColumn("h", F.xxhash64(F.lit(TRAIN_SEED), "text"))
+    chosen = rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).groupBy("lang", "h").agg(F.min("text").alias("text"))
     got = chosen.select("text", "lang").mapInArrow(_count_rows, "at array<int>, share array<float>, lang string").toArrow()
     at, share = got.column("at").combine_chunks(), got.column("share").combine_chunks()
     if isinstance(at, pa.ChunkedArray):
@@ -253,12 +257,21 @@ def predict(df: DataFrame, model: Ecoc, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(df: DataFrame, model: Ecoc, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose text has a language."""
+    """The rows of df, all columns, whose language is recognised: those predicted ``und`` and those whose nearest codewords are ambiguous go.
+
+    Null texts and texts without a letter go, repeated rows and ties are judged alike, long texts by the whole, an empty table stays empty; other columns
+    of any name and type are kept. Where no language was learned nothing can be ambiguous, and every text with a letter stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            langs, _, _ = model.predict(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([x != UND for x in langs], pa.bool_()))
+            texts = [None if t is None else str(t) for t in batch.column(text_col).to_pylist()]
+            if model.langs:
+                langs, _, ambiguous = model.predict(texts)
+                keep = [x != UND and not a for x, a in zip(langs, ambiguous)]
+            else:
+                keep = [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

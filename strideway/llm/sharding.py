@@ -1,21 +1,20 @@
 """Reproducible sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Native: every step is a DataFrame or SQL expression. Rows get a global number 0..n-1 in the order of
-(md5 of the id, then all columns); the number goes through a keyed bijection of 0..n-1; the permuted
+Native: every step is a DataFrame or SQL expression. Rows get a global number 0..n-1 in the order of a digest of (id, whole row); the number
+goes through a keyed bijection of 0..n-1; the permuted
 position p gives shard p % shards and slot p // shards. So shard sizes differ by one row at most (law
 ``rows``), slots have no gaps, and shard and slot of a row number can be computed without any table
 (``permute_int``).
 
-Numbering needs no global sort: the first hex digits of the md5 are a bucket, a table of at most
-16**DIGITS counts gives each bucket its offset, and a window numbers the rows of one bucket. Rows
-that are equal in every column would fall into one bucket; they are folded into one row with a count
-before the shuffle and unfolded after it, so a hot group of copies costs one row.
+Numbering needs no global sort: the first hex digits of the digest are a bucket, a table of at most
+16**DIGITS counts gives each bucket its offset, and a window numbers the rows of one bucket. The digest covers all columns, so rows that share an id
+(or its absence) spread over all buckets; rows that are equal in every column are folded into one row with a count
+before the window and unfolded after it, so a hot group of copies costs one row.
 
-Cases. Null id: counts as the empty string, so such rows share a bucket, ordered by their other
-columns. Null text: size 1, crc32 of the empty string. Repeated rows take consecutive numbers; which is
+Cases. Null id: the other columns tell such rows apart. Null text: size 1, crc32 of the empty string. Repeated rows take consecutive numbers; which is
 which cannot be seen. Long texts are never shuffled by the query, which carries their size and crc32.
-An empty table gives an empty result. Other columns are carried; one named like a result raises
-ValueError, and a column that cannot be ordered (a map) needs fold=False and an order of its own.
+An empty table gives an empty result. Other columns of any type are carried, whatever their names; one named like a result raises
+ValueError.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strideway.llm.common import written
+
 ROUNDS = 6
 #: Hex digits of the bucket: 4096 buckets, so some 17 million rows each at 7e10 rows.
 DIGITS = 3
@@ -87,42 +88,39 @@ def permuted(df: DataFrame, number: str, n: int, to: str, seed: int = SEED) -> D
     return df.withColumn(to, F.expr(f"CASE WHEN __walk < {n}L THEN __walk ELSE {rest} END")).drop("__walk")
 
 
-def numbered(df: DataFrame, id_col: str, to: str, fold: bool = True, order: list[str] | None = None) -> tuple[DataFrame, int]:
-    """(df with global row numbers 0..n-1 in column `to`, n)."""
-    cols = df.columns
-    keyed = df.withColumn("__h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
-    keyed = keyed.withColumn("__b", F.substring("__h", 1, DIGITS))
-    counts = keyed.groupBy("__b").agg(F.count("*").alias("__n"))
-    n = counts.agg(F.sum("__n")).first()[0] or 0
+def numbered(df: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """((row: a struct of df's columns, number: 0..n-1) of every row, n)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    # JSON tells null from empty and takes every type; map entries in their given order
+    digest = F.md5(F.concat_ws("\0", F.col(id_col).cast("string"), F.to_json(whole, {"ignoreNullFields": "false"})).cast("binary"))
+    keyed = df.select(whole.alias("row"), digest.alias("h"))
+    # counts of copies, combined on the map side, as a narrow table; rows join their numbers by digest, so whole rows are shuffled once
+    sizes = written(keyed.groupBy("h").agg(F.count("*").alias("c")), "row-digests").withColumn("b", F.substring("h", 1, DIGITS))
+    counts = sizes.groupBy("b").agg(F.sum("c").alias("n"))
+    n = counts.agg(F.sum("n")).first()[0] or 0
     # 16**DIGITS rows at most, so one partition and a broadcast hold them at any size of df
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    if fold:
-        keyed = keyed.groupBy("__b", "__h", *cols).agg(F.count("*").alias("__c"))
-    else:
-        keyed = keyed.withColumn("__c", F.lit(1).cast("long"))
-    within = Window.partitionBy("__b").orderBy("__h", *(order or cols)).rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.withColumn("__e", F.sum("__c").over(within)).join(F.broadcast(offsets), "__b")
-    out = out.withColumn("__s", F.col("__o") + F.col("__e") - F.col("__c"))
-    if not fold:
-        return out.select(*cols, F.col("__s").alias(to)), n
-    out = out.withColumn("__k", F.explode(F.expr(f"sequence(0L, (__c - 1) div {UNFOLD}L)")))
-    last = F.least(F.col("__c") - 1, F.col("__k") * UNFOLD + (UNFOLD - 1))
-    out = out.withColumn("__i", F.explode(F.sequence(F.col("__k") * UNFOLD, last)))
-    return out.select(*cols, (F.col("__s") + F.col("__i")).alias(to)), n
-
-
-def feistel_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 8, seed: int = SEED, fold: bool = True, order: list[str] | None = None) -> DataFrame:
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    within = Window.partitionBy("b").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    numbers = sizes.withColumn("e", F.sum("c").over(within)).join(F.broadcast(offsets), "b").select("h", "c", (F.col("o") + F.col("e") - F.col("c")).alias("s"))
+    out = keyed.groupBy("h").agg(F.first("row").alias("row")).join(numbers, "h")
+    out = out.withColumn("k", F.explode(F.expr(f"sequence(0L, (c - 1) div {UNFOLD}L)")))
+    last = F.least(F.col("c") - 1, F.col("k") * UNFOLD + (UNFOLD - 1))
+    out = out.withColumn("i", F.explode(F.sequence(F.col("k") * UNFOLD, last)))
+    return out.select("row", (F.col("s") + F.col("i")).alias("number")), n
+
+
+def feistel_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 8, seed: int = SEED) -> DataFrame:
     """Every row of df with law, shard, slot and grown_shard (null under this law)."""
     if clash := set(_RESULTS) & set(df.columns):
         raise ValueError(f"columns named like results: {sorted(clash)}")
-    rows, n = numbered(df, id_col, "__row", fold, order)
-    rows = permuted(rows, "__row", n, "__p", seed)
+    rows, n = numbered(df, id_col)
+    rows = permuted(rows, "number", n, "p", seed)
     return rows.select(
-        *df.columns,
+        *[F.col("row")[c].alias(c) for c in df.columns],
         F.lit("rows").alias("law"),
-        (F.col("__p") % shards).cast("int").alias("shard"),
-        F.expr(f"__p div {shards}").alias("slot"),
+        (F.col("p") % shards).cast("int").alias("shard"),
+        F.expr(f"p div {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
