@@ -13,7 +13,7 @@ from strideway.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
+    """Documents whose language is recognised; null texts, texts without a letter and those between two languages go."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns with law, shard, slot and grown_shard."""
-    return sharding.feistel_shards(docs, fold=False)
+    return sharding.feistel_shards(docs)
 
 
 STAGES = [
