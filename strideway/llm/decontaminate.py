@@ -13,10 +13,14 @@ window. A candidate is verified by the exact edit distance of the whole item to
 Windows start at every word of a document that can be the start of a match at all: a stretch within k edits of an item of L words
 has at least L - 2 - 3k of its three-word grams (the q-gram lemma; the same for a tile and its share of the edits), so windows with fewer benchmark grams are passed over without loss.
 
-The benchmark is the stated query set: it goes to the executors in blocks of at most BLOCK items, and each block passes over all documents, one document at a
-time, so neither hot sources nor copies matter and nothing is shuffled.
+Items of fewer than MIN_WORDS words, such as "yes" or "the second one", stand in most documents by chance. They are matched exactly, by whole lines: a line of a
+document, or all of it, that has just the item's words.
 
-Cases. Null or empty text: clean. Null or too short items (under MIN_WORDS words): never matched. Equal items: each reported. Null ids: reported as null. Repeated rows:
+The benchmark is the stated query set: it goes to the executors in blocks of at most BLOCK items, one document at a
+time, so neither hot sources nor copies matter and nothing is shuffled. Of one block all documents are read. Of more, the documents are read once against a bitmap of the grams and short items of all
+blocks, which loses no match, and only what is left, written, is read for each block.
+
+Cases. Null or empty text: clean. Null items and those without a word: never matched. Equal items: each reported. Null ids: reported as null. Repeated rows:
 each reported. Ties between stretches: the first of the least distance. Empty tables: no rows. Long texts: whole. Other columns are ignored by the
 report and kept by the filter, whatever their names.
 """
@@ -31,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.llm.common import U64, Powers, mix64, prefix_hash, slices
+from strideway.llm.common import U64, Powers, mix64, prefix_hash, slices, written
 
 SHARE, MIN_WORDS, GRAM = 0.15, 5, 3
 SAMPLES, REPEATS, TARGET = 4, 32, 0.95
 #: Words of an item that are looked up as one; up to this length SAMPLES and REPEATS hold TARGET.
 TILE = 60
 BLOCK = 20_000
+#: Bits (as a power of two) of the bitmap of several blocks: 16 MB, with under 4 % of all grams let through by chance for 5 million of them.
+SIEVE_BITS = 27
 MATCHES = "doc_id long, item_id long, n_edits long, start_word long, n_words long"
 _Q = U64(0x9FB21C651E98DF25)
 _SPACE = np.zeros(256, bool)
@@ -134,14 +140,21 @@ class Benchmark:
     def __init__(self, items: list[tuple[int | None, str | None]], seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         words = [(i, words_of(t)) for i, t in items if t is not None]
-        self.items = [(i, w) for i, w in words if len(w) >= MIN_WORDS]
-        all_grams = [grams(w) for _, w in self.items]
+        self.items = [(i, w) for i, w in words if len(w)]
+        # items that are looked up by line: their words' bytes to their numbers
+        self.short: dict[bytes, list[int]] = {}
+        for k, (_, w) in enumerate(self.items):
+            if len(w) < MIN_WORDS:
+                self.short.setdefault(w.tobytes(), []).append(k)
+        all_grams = [grams(w) for _, w in self.items if len(w) >= MIN_WORDS]
         self.grams = np.unique(np.concatenate(all_grams)) if all_grams else np.zeros(0, U64)
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[self.grams >> U64(64 - _BITS)] = True
         # (item number, first word, words, edits) of each tile
         self.tiles: list[tuple[int, int, np.ndarray, int]] = []
         for i, (_, w) in enumerate(self.items):
+            if len(w) < MIN_WORDS:
+                continue
             t = -(-len(w) // TILE)
             cuts = [len(w) * j // t for j in range(t + 1)]
             self.tiles += [(i, low, w[low:high], max_edits(len(w)) // t) for low, high in zip(cuts, cuts[1:])]
@@ -175,7 +188,7 @@ class Benchmark:
         none = np.zeros((0, 3), np.int64)
         g = grams(w)
         at = np.flatnonzero(self.bitmap[g >> U64(64 - _BITS)])
-        if len(at):
+        if len(at) and len(self.grams):
             at = at[self.grams[np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)] == g[at]]
         if not len(at):
             return none
@@ -236,10 +249,29 @@ class Benchmark:
             if edits <= k and ((d, i) not in best or edits < best[d, i][0]):
                 _, begin = edit_distance(item[::-1], part[:end][::-1])
                 best[d, i] = (edits, low + end - begin - int(first[d]), begin)
+        if self.short:
+            for d, text in enumerate(lowered):
+                for i, x in self.by_line(text).items():
+                    best[d, i] = x
         for (d, i), x in sorted(best.items()):
             out[d].append((i, *x))
         return out
 
+    def by_line(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """Of each short item that is a line of the text, or all of it: (0 edits, start word, words) of the first such line."""
+        found: dict[int, tuple[int, int, int]] = {}
+        start = 0
+        lines = text.split("\n")
+        for line in lines:
+            w = words_of(line)
+            for i in self.short.get(w.tobytes(), []) if len(w) < MIN_WORDS else []:
+                found.setdefault(i, (0, start, len(w)))
+            start += len(w)
+        if len(lines) > 1 and start < MIN_WORDS:
+            for i in self.short.get(words_of(text).tobytes(), []):
+                found.setdefault(i, (0, 0, start))
+        return found
+
     def matches_in(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, int, int]]]:
         """matches_of, some texts at a time."""
         held: list[str | None] = []
@@ -253,6 +285,26 @@ class Benchmark:
         yield from self.matches_of(held)
 
 
+class Sieve:
+    """What documents must have to hold an item of any block: two grams of some item, or a line that a short item is."""
+
+    def __init__(self, bits: int = SIEVE_BITS) -> None:
+        self.shift, self.bitmap, self.short = U64(64 - bits), np.zeros((1 << bits) // 8, np.uint8), False
+
+    def add(self, bench: Benchmark) -> None:
+        at = np.unique(bench.grams >> self.shift)
+        np.bitwise_or.at(self.bitmap, at >> U64(3), U64(1).astype(np.uint8) << (at & U64(7)).astype(np.uint8))
+        self.short = self.short or bool(bench.short)
+
+    def holds(self, text: str | None) -> bool:
+        w = words_of((text or "").lower())
+        if self.short and len(w):
+            return True  # lines are cheap to look up, so all documents go on
+        at = grams(w) >> self.shift
+        # an item has at most max_edits edits, which leave two grams or more; an item of five or six words allows none and has three
+        return int((self.bitmap[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1).sum()) >= 2
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> Iterator[Benchmark]:
     """The benchmark in prepared blocks of about `block` items; one of them is on the driver at a time."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
@@ -262,9 +314,31 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Benchmark(sorted(((r["i"], r["t"]) for r in rows.filter(part == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
 
 
+def _filtered(df: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of df for whose texts, some at a time, keep gives true values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(list(keep(batch.column(text_col).to_pylist())), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _sieved(df: DataFrame, benchmark: DataFrame, text_col: str, block: int) -> Sieve | None:
+    """The sieve of a benchmark of several blocks."""
+    if benchmark.count() <= block:
+        return None
+    sieve = Sieve()
+    for bench in blocks(benchmark, block=block):
+        sieve.add(bench)
+    return sieve
+
+
 def find_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """MATCHES: one row for each document and benchmark item that it holds."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if sieve := _sieved(docs, benchmark, "text", block):
+        docs = written(_filtered(docs, "text", lambda texts: map(sieve.holds, texts)), "sieved")
 
     def scan(bench: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +352,7 @@ def find_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         return run
 
     out = None
-    for bench in blocks(benchmark, text_col="text", block=block):
+    for bench in blocks(benchmark, block=block):
         part = docs.mapInArrow(scan(bench), MATCHES)
         out = part if out is None else out.unionByName(part)
     return out
@@ -286,14 +360,12 @@ def find_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of df, all columns, that hold no benchmark item."""
-
-    def clean(bench: Benchmark):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not m for m in bench.matches_in(batch.column(text_col).to_pylist())], pa.bool_()))
-
-        return run
-
+    clean = lambda bench: lambda texts: (not m for m in bench.matches_in(texts))
+    if (sieve := _sieved(df, benchmark, text_col, block)) is None:
+        for bench in blocks(benchmark, block=block):
+            df = _filtered(df, text_col, clean(bench))
+        return df
+    doubtful = written(_filtered(df, text_col, lambda texts: map(sieve.holds, texts)), "sieved")
     for bench in blocks(benchmark, block=block):
-        df = df.mapInArrow(clean(bench), df.schema)
-    return df
+        doubtful = _filtered(doubtful, text_col, clean(bench))
+    return _filtered(df, text_col, lambda texts: (not sieve.holds(t) for t in texts)).unionByName(doubtful)

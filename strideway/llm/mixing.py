@@ -1,6 +1,6 @@
 """Mixing to target weights by soft memberships.
 
-Native: every step on rows is a DataFrame or SQL expression. A naive Bayes classifier, fitted on the labelled table, gives each document a posterior over DOMAINS
+Native: every step on rows is a DataFrame or SQL expression. A multinomial logistic classifier, fitted on the labelled table, gives each document a posterior over DOMAINS
 (junk, good, toxic); its expected tokens in a domain are tokens x posterior. Document rates r >= 0 (and <= max_rate) then minimise the squared
 relative misses of the domains, sum over d of (sum over i of tokens_i p_id r_i - target_d)^2 / tokens_d, by projected gradient from r = 1, with the row
 step scaled by 1 / tokens_i, so documents of one posterior share one rate. A rate is a fold of the gradients so far over the document's posterior, so
@@ -11,13 +11,14 @@ scarce domain never shrinks the rest, and rates up to max_rate = 1 can meet the
 prior; without labelled good rows there is nothing to measure the others by, and all rates stay at the start.
 A document is taken floor(rate) times, and once more if the hash of its id and text falls below the remainder: the draw is reproducible.
 
-The classifier is a naive Bayes model of present features: words, doubled symbols and levels of repeated words; the FEATURES ones of largest information gain are used.
-It is fitted on about TRAIN_DOCS labelled rows a domain, chosen by a hash, whatever the corpus is. All counts and totals of tokens cover
+The classifier reads present features: words, doubled symbols, levels of repeated and of echoed words, and stems that several different words begin with; the FEATURES
+ones of largest information gain are used. Its weights come from accelerated gradient steps on the driver over the features of a bounded sample: about TRAIN_DOCS labelled rows a domain, chosen by hashes and weighted back to all labelled rows,
+whatever the corpus is. All counts and totals of tokens cover
 all documents. A hot source or domain is only a larger term of map-side sums. Labels join by id with AQE's skew splitting.
 
 Cases. Null or blank text: 0 tokens, the prior as posterior, rate by it. Null id: never labelled; drawn by its text. Labels repeated for an id: counted
 once each, duplicates folded. No label at all: uniform posteriors, rates 1. A domain without labelled rows: its small prior only, no target. Null label: the row is not learned from. A domain without tokens: it has no term. Repeated rows: equal rates and equal
-draws. Long texts: whole, in one row's expression. Empty table: no rows. Columns named like the results raise ValueError; others are carried by ``mixed``.
+draws. Long texts: whole, in one row's expression. Empty table: no rows. Other columns are carried, whatever their names and types; only ``mixed`` raises ValueError for columns named like its results.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +35,26 @@ from strideway.llm.common import join_small, written
 DOMAINS = ("junk", "good", "toxic")
 GOOD = 1
 TARGETS = (0.02, 0.975, 0.005)
-#: Features of the classifier, and levels of the share of repeated words; symbols whose doubling is a feature.
-FEATURES, LEVELS = 120, 16
+#: Features of the classifier, and levels of the shares of repeated and of echoed words; symbols whose doubling is a feature.
+FEATURES, LEVELS = 300, 16
+#: Characters of a stem, and numbers of different longer words that share one.
+STEM, FAMILIES = 5, (2, 3, 5, 8)
 SYMBOLS = "!%*$&#@~=^<>|?"
-#: The absence of a feature counts if the middle one of its rates in the domains is less; that of common words only tells short texts.
-RARE = 0.05
 #: Labelled rows a domain that the classifier is fitted on, in expectation.
 TRAIN_DOCS = 3000
+#: Gradient steps of the classifier and its ridge.
+FIT_STEPS, RIDGE = 300, 1e-4
 #: Least squares ends at misses of TOLERANCE of the total, or after ITERATIONS.
 ITERATIONS, MOMENTUM, TOLERANCE = 24, 0.6, 1e-3
 
 
 @dataclass
 class Model:
-    """Log prior and constants by domain; log odds by feature and domain; the domains with labelled rows."""
+    """Log share of the labels and bias by domain; weights by feature and domain; the domains with labelled rows."""
 
     prior: list[float]
-    odds: dict[str, list[float]]
+    bias: list[float]
+    weights: dict[str, list[float]]
     live: list[int]
 
 
@@ -65,82 +70,124 @@ def _words(text: Column) -> Column:
 
 
 def _shape(text: Column, words: Column) -> list[Column]:
-    """Features of form: each doubled symbol that occurs (else null), and the share of repeated words in LEVELS levels. No word contains a blank, as these do."""
-    level = F.least(F.floor(F.lit(LEVELS) * (1 - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))), F.lit(LEVELS - 1))
-    return [*[F.when(F.contains(text, F.lit(2 * x)), F.lit(f"has {2 * x}")) for x in SYMBOLS], F.concat(F.lit("repeats "), level.cast("string"))]
+    """Features of form: each doubled symbol that occurs (else null), the share of repeated words and that of words equal to the one before, in LEVELS levels.
+
+    No word contains a blank, as these do.
+    """
+    level = lambda part: F.least(F.floor(F.lit(LEVELS) * part / F.greatest(F.size(words), F.lit(1))), F.lit(LEVELS - 1)).cast("string")
+    echoes = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
+    levels = [F.concat(F.lit("repeats "), level(F.size(words) - F.size(F.array_distinct(words)))), F.concat(F.lit("echoes "), level(echoes))]
+    return [*[F.when(F.contains(text, F.lit(2 * x)), F.lit(f"has {2 * x}")) for x in SYMBOLS], *levels]
+
+
+def _families(own: Column, stems: list[str] | None) -> Column:
+    """For each stem of several different words (of the chosen stems, if given) a feature for each number in FAMILIES that they reach."""
+    long = F.filter(own, lambda w: F.length(w) > STEM if stems is None else (F.length(w) > STEM) & F.substring(w, 1, STEM).isin(stems))
+    ordered = F.sort_array(F.transform(long, lambda w: F.substring(w, 1, STEM)))
+
+    def reached(o: Column, n: int) -> Column:
+        return F.filter(F.transform(o, lambda x, i: F.when(x == F.get(o, i + (n - 1)), F.concat(F.lit(f"stem {n} "), x))), lambda x: x.isNotNull())
+
+    def families(o: Column) -> Column:
+        return F.array_distinct(F.concat(*[reached(o, n) for n in FAMILIES]))
+
+    # as the one element of an array the sorted stems are a variable: as an expression they would be sorted anew for each of their elements
+    return F.get(F.transform(F.array(ordered), families), F.lit(0))
 
 
 def _features(text: Column, words: Column, chosen: list[str] | None) -> Column:
-    """Distinct features of a text: its words (of the chosen ones, if given) and its form."""
+    """Distinct features of a text: its words (of the chosen ones, if given), its stems and its form."""
+    own = F.array_distinct(words)
     if chosen is None:
-        own = F.array_distinct(words)
-    else:
-        own = F.array_intersect(words, F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>"))
-    return F.concat(own, F.array_compact(F.array(*_shape(text, words))))
+        return F.concat(own, _families(own, None), F.array_compact(F.array(*_shape(text, words))))
+    names = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>")
+    parts = [words, F.array_compact(F.array(*_shape(text, words)))]
+    if stems := sorted({c.split(" ", 2)[2] for c in chosen if c.startswith("stem ")}):
+        parts.append(_families(own, stems))
+    return F.array_intersect(F.concat(*parts), names)
 
 
 def _domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 1, 1).when((quality == 0) & (toxic == 0), 0)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = FIT_STEPS, ridge: float = RIDGE) -> np.ndarray:
+    """Weights (columns of x by columns of y) of the multinomial logistic regression, by accelerated gradient steps."""
+    weight = (weight / weight.sum())[:, None]
+    bound = 0.5 * np.linalg.norm(x * np.sqrt(weight), 2) ** 2 + ridge
+    now = ahead = np.zeros((x.shape[1], y.shape[1]))
+    for k in range(steps):
+        z = x @ ahead
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        new = ahead - (x.T @ ((p - y) * weight) + ridge * ahead) / bound
+        ahead = new + k / (k + 3) * (new - now)
+        now = new
+    return now
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_DOCS) -> Model:
     """The classifier from the labelled rows."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("__id"), _domain(F.col("quality"), F.col("toxic")).alias("d")).filter("d IS NOT NULL AND __id IS NOT NULL").distinct()
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), _domain(F.col("quality"), F.col("toxic")).alias("d")).filter("d IS NOT NULL AND id IS NOT NULL").distinct()
     sizes = {r["d"]: r["n"] for r in marks.groupBy("d").agg(F.count("*").alias("n")).collect()}
     total, k = sum(sizes.values()), len(DOMAINS)
     if not total:
-        return Model([0.0] * k, {}, [])
-    share = F.create_map(*[x for d, n in sorted(sizes.items()) for x in (F.lit(d), F.lit(min(1.0, train_docs / n)))])[F.col("d")]
-    some = marks.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < share * 1_000_003)
-    texts = df.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = join_small(texts, some, ["__id"], "inner", 24, "labels").withColumn("w", _words(F.col("text")))
-    known = written(known.select("d", _features(F.col("text"), F.col("w"), None).alias("f")), "features")
-    docs = {r["d"]: r["n"] for r in known.groupBy("d").agg(F.count("*").alias("n")).collect()}
+        return Model([0.0] * k, [0.0] * k, {}, [])
+    prior = [math.log((sizes.get(d, 0) + 1) / (total + k)) for d in range(k)]
+    few = lambda h, n: F.pmod(h, F.lit(1_000_003)) < 1_000_003 * F.create_map(*[x for d, m in sorted(n.items()) for x in (F.lit(d), F.lit(min(1.0, train_docs / m)))])[F.col("d")]
+    some = marks.filter(few(F.xxhash64("id"), sizes))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = join_small(texts, some, ["id"], "inner", 24, "labels").withColumn("w", _words(F.col("text")))
+    # equal documents of a domain are one row with a count
+    known = written(known.select("d", _features(F.col("text"), F.col("w"), None).alias("f")).groupBy("d", "f").agg(F.count("*").alias("n")), "features")
+    docs = {r["d"]: r for r in known.groupBy("d").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect()}
     live = sorted(docs)
     if not live:
-        return Model([math.log((sizes.get(d, 0) + 1) / (total + k)) for d in range(k)], {}, [])
-    counts = known.select("d", F.explode("f").alias("f")).groupBy("f").agg(*[F.sum(F.when(F.col("d") == d, 1).otherwise(0)).alias(f"n{d}") for d in live])
-    rate = {d: (F.col(f"n{d}") + 0.5) / (docs[d] + 1.0) for d in live}
+        return Model(prior, [0.0] * k, {}, [])
+    # an id that many documents share brings them all; here the sample is bounded again
+    known = known.filter(few(F.xxhash64("f"), {d: r["m"] for d, r in docs.items()}))
+    counts = known.select("d", "n", F.explode("f").alias("f")).groupBy("f").agg(*[F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(f"n{d}") for d in live])
+    sampled = {r["d"]: r["n"] for r in known.groupBy("d").agg(F.sum("n").alias("n")).collect()}
+    rate = {d: (F.col(f"n{d}") + 0.5) / (sampled.get(d, 0) + 1.0) for d in live}
     mean = sum([rate[d] for d in live[1:]], rate[live[0]]) / len(live)
     gain = F.lit(0.0)
     for d in live:
         gain = gain + rate[d] * F.log(rate[d] / mean) + (1 - rate[d]) * F.log((1 - rate[d]) / (1 - mean))
     # the features that say most about the domain, one short row each
-    rows = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
-    odds, prior = {}, [math.log((sizes.get(d, 0) + 1) / (total + k)) for d in range(k)]
-    for r in rows:
-        p = [(r[f"n{d}"] + 0.5) / (docs[d] + 1.0) if d in live else 0.0 for d in range(k)]
-        middle = sum(p) / len(live)
-        odds[r["f"]] = [math.log(x / middle) if x else 0.0 for x in p]
-        if sorted(p[d] for d in live)[len(live) // 2] < RARE:
-            # where most texts lack a feature its absence counts: summed once into the prior, taken back where it is present
-            # a domain without labelled rows has no evidence either way
-            absent = [math.log((1 - p[d]) / (1 - middle)) if d in live else 0.0 for d in range(k)]
-            prior = [prior[d] + absent[d] for d in range(k)]
-            odds[r["f"]] = [odds[r["f"]][d] - absent[d] for d in range(k)]
-    return Model(prior, odds, live)
-
-
-def posteriors(df: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """df with n_tokens and p_<domain>."""
-    k = len(DOMAINS)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = sorted(model.odds)
-    df = df.withColumn("__w", _words(text))
-    df = df.withColumn("__f", _features(text, F.col("__w"), chosen)).withColumn("n_tokens", F.size("__w").cast("long"))
+    chosen = sorted(r["f"] for r in counts.withColumn("gain", gain).orderBy(F.desc("gain"), "f").limit(FEATURES).select("f").collect())
+    at = F.transform(F.array_intersect("f", F.array(*[F.lit(c) for c in chosen])), lambda f: F.array_position(F.array(*[F.lit(c) for c in chosen]), f).cast("int"))
+    rows = sorted((r["d"], r["at"], r["n"]) for r in known.select("d", F.array_sort(at).alias("at"), "n").collect())
+    x, y, weight = np.zeros((len(rows), len(chosen) + 1)), np.zeros((len(rows), len(live))), np.zeros(len(rows))
+    x[:, 0] = 1
+    for i, (d, present, n) in enumerate(rows):
+        x[i, present], y[i, live.index(d)], weight[i] = 1, 1, n * sizes[d] / sampled[d]
+    w = logistic(x, y, weight)
+    spread = lambda row: [float(row[live.index(d)]) if d in live else 0.0 for d in range(k)]
+    return Model(prior, spread(w[0]), {c: spread(w[i]) for i, c in enumerate(chosen, 1)}, live)
+
+
+def posteriors(df: DataFrame, model: Model, text: Column) -> DataFrame:
+    """(row: a struct of df's columns, n_tokens, p_<domain>)."""
+    k, text = len(DOMAINS), F.coalesce(text, F.lit(""))
+    chosen = sorted(model.weights)
     names = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>")
-    df = df.withColumn("__i", F.filter(F.transform("__f", lambda f: F.array_position(names, f).cast("int")), lambda i: i > 0))
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text.alias("text"), _words(text).alias("w"))
+    out = out.select("row", F.size("w").cast("long").alias("n_tokens"), F.transform(_features(F.col("text"), F.col("w"), chosen), lambda f: F.array_position(names, f).cast("int")).alias("at"))
     for d in range(k):
-        table = "array(" + ",".join(f"{model.odds[f][d]:.6f}D" for f in chosen) + ")" if chosen else "array(0D)"
-        score = F.expr(f"aggregate(__i, 0D, (s, i) -> s + get({table}, i - 1))")
-        df = df.withColumn(f"__s{d}", F.lit(float(model.prior[d])) + F.when(F.col("n_tokens") > 0, score).otherwise(0.0))
-    top = F.greatest(*[F.col(f"__s{d}") for d in range(k)])
-    parts = [F.exp(F.col(f"__s{d}") - top) for d in range(k)]
-    whole = sum(parts[1:], parts[0])
-    # six digits: documents of one rounded posterior are one row of the least squares
-    df = df.withColumns({f"p_{name}": F.round(parts[d] / whole, 6) for d, name in enumerate(DOMAINS) if d != GOOD})
-    df = df.withColumn(f"p_{DOMAINS[GOOD]}", 1 - sum([F.col(f"p_{name}") for d, name in enumerate(DOMAINS) if d != GOOD], F.lit(0.0)))
-    return df.drop("__w", "__f", "__i", *[f"__s{d}" for d in range(k)])
+        table = "array(" + ",".join(f"{model.weights[f][d]:.6f}D" for f in chosen) + ")" if chosen else "array(0D)"
+        score = F.lit(float(model.bias[d])) + F.expr(f"aggregate(at, 0D, (s, i) -> s + get({table}, i - 1))")
+        out = out.withColumn(f"s{d}", F.when(F.col("n_tokens") > 0, score).otherwise(F.lit(float(model.prior[d]))))
+    # a domain without labelled rows has its small prior for any text; without any labels all are alike
+    live = model.live or list(range(k))
+    top = F.greatest(*[F.col(f"s{d}") for d in live]) if len(live) > 1 else F.col(f"s{live[0]}")
+    parts = {d: F.exp(F.col(f"s{d}") - top) for d in live}
+    seen = sum(list(parts.values())[1:], parts[live[0]])
+    parts |= {d: F.lit(math.exp(model.prior[d])) * seen for d in range(k) if d not in live}
+    whole = sum([parts[d] for d in range(1, k)], parts[0])
+    # some digits: documents of one rounded posterior are one row of the least squares
+    out = out.withColumns({f"p_{name}": F.round(parts[d] / whole, 4) for d, name in enumerate(DOMAINS) if d != GOOD})
+    out = out.withColumn(f"p_{DOMAINS[GOOD]}", F.round(1 - sum([F.col(f"p_{name}") for d, name in enumerate(DOMAINS) if d != GOOD], F.lit(0.0)), 4))
+    return out.select("row", "n_tokens", *[f"p_{name}" for name in DOMAINS])
 
 
 def _state(steps: list[list[float]], max_rate: float | None) -> Column:
@@ -193,28 +240,40 @@ def fit_rates(table: DataFrame, targets: tuple[float, ...] = TARGETS, max_rate:
     return steps, {"tokens": have, "target": want, "reached": reached}
 
 
-def mixed(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
-    """df's columns (or keep) with n_tokens, posteriors, rate and copies."""
+def _drawn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, targets: tuple[float, ...], max_rate: float | None, seed: int, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, list[float]]]:
+    """((row: a struct of df's columns or those of keep, n_tokens, posteriors, rate, copies), fit_rates' report)."""
     if targets[GOOD] <= 0:
         raise ValueError("the good domain needs a target: the others are shares of it")
-    if clash := set(_RESULTS) & set(df.columns):
-        raise ValueError(f"columns named like results: {sorted(clash)}")
     model = fit(df, labels, id_col, text_col)
-    scored = posteriors(df, model, text_col).withColumn("__d", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    scored = written(scored.select(*(keep or df.columns), "n_tokens", *[f"p_{d}" for d in DOMAINS], "__d"), "posteriors")
-    steps, _ = fit_rates(scored, targets, max_rate, model.live)
+    scored = posteriors(df, model, F.col(f"`{text_col}`"))
+    # the draw is a hash of id and text
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("row")[id_col], F.col("row")[text_col]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    row = F.col("row") if keep is None else F.struct(*[F.col("row")[c].alias(c) for c in keep])
+    scored = written(scored.select(row.alias("row"), "n_tokens", *[f"p_{d}" for d in DOMAINS], draw.alias("draw")), "posteriors")
+    steps, told = fit_rates(scored, targets, max_rate, model.live)
     out = scored.withColumn("rate", _state(steps, max_rate)["r"])
-    copies = (F.floor("rate") + F.when(F.col("__d") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).drop("__d")
+    copies = (F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+    return out.withColumn("copies", copies).drop("draw"), told
+
+
+def mixed(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0, seed: int = 17) -> DataFrame:
+    """df's columns with n_tokens, posteriors, rate and copies."""
+    if clash := set(_RESULTS) & set(df.columns):
+        raise ValueError(f"columns named like results: {sorted(clash)}")
+    out, _ = _drawn(df, labels, id_col, text_col, targets, max_rate, seed)
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns], *_RESULTS)
 
 
-def sample(df: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+def sample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: tuple[float, ...] = TARGETS, max_rate: float | None = 1.0, seed: int = 17) -> DataFrame:
     """The mixture: the rows of df, all columns, each as often as its copies say."""
-    out = mixed(df, labels, **kw).filter("copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(*df.columns)
+    out, _ = _drawn(df, labels, id_col, text_col, targets, max_rate, seed)
+    out = out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, posteriors, rate, copies) of every document."""
-    narrow = mixed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, keep=["doc_id"])
-    return narrow.select("doc_id", "n_tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in DOMAINS], F.round("rate", 6).alias("rate"), "copies")
+    """(doc_id, n_tokens, posteriors, rate, copies) of every document; target_ and reached_ of each domain are its expected tokens, the same in all rows."""
+    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out, told = _drawn(narrow, labels, "doc_id", "text", TARGETS, 1.0, 17, ["doc_id"])
+    sums = [F.lit(float(told[what][d])).alias(f"{what}_{name}") for what in ("target", "reached") for d, name in enumerate(DOMAINS)]
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), "n_tokens", *[f"p_{d}" for d in DOMAINS], F.round("rate", 6).alias("rate"), "copies", *sums)

@@ -8,14 +8,16 @@ Jaccard similarity. SLOTS = BANDS x ROWS slots: two texts of similarity 0.8 shar
 Texts that share a band are candidates. They are linked if, exactly, the probability Jaccard or the Jaccard similarity of their shingles is SIMILARITY or more. Classes
 are the connected components of the links.
 
-No pair list of a bucket is ever made. A bucket first tests its leader against its members; after the components are known, only members outside the leader's
+A bucket first tests its leader against its members; after the components are known, only members outside the leader's
 component are tested against the bucket's members of other components, so that no link between two classes is missed. LEADERS such leader rounds
-(each with a new leader) go before that last step. Copies (equal texts) are one node. Texts travel only for candidates, the
+(each with a new leader) go before that last step. So copies cost one pair each, however many they are; members of a bucket that stay unlinked to all others are compared with
+each other in that last step, whose pairs grow as the square of their number: bands of 5 slots make such buckets small, but pages of one layout at a similarity of 0.5 to 0.7
+may fill one. Copies (equal texts) are one node. Texts travel only for candidates, the
 leader's joined last, where AQE splits a hot leader.
 
 Cases. Null text, or one without a word: a class of its own. Fewer than WORDS words: one shingle of all words. Null id: counts
 in its class, whose id is the least id in it (null only if all are). Repeated rows and ids: each row is returned. Ties: the least id. Long texts: whole, one at a time.
-Empty table: no rows. Other columns are ignored, whatever their names.
+Empty table: no rows. Other columns are ignored, or kept by ``keep_one``, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -242,19 +244,19 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
     best = written(rows.filter("ck IS NOT NULL").groupBy("ck").agg(F.min(own).alias("x"), F.count("*").alias("n")).filter("n > 1"), "kept")
     away = rows.join(best, "ck").filter(~own.eqNullSafe(F.col("x"))).select("doc_id", "key").distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = df.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.unhex(F.md5(text.cast("binary")))})
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # the rows as one struct, so that no name of theirs can clash
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     # null ids: equal texts of one class are told apart by a flag, as a join doesn't match nulls
-    mark = lambda c: F.coalesce(c, F.lit(0)), lambda c: c.isNull()
-    named = named.withColumns({"__i": mark[0](F.col("__id")), "__null": mark[1](F.col("__id"))})
-    away = away.select(mark[0](F.col("doc_id")).alias("__i"), mark[1](F.col("doc_id")).alias("__null"), F.col("key").alias("__key"))
-    left = join_small(named, away, ["__i", "__null", "__key"], "left_anti", 56, "away")
+    keys = ["i", "absent", "key"]
+    mark = lambda d, *more: d.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("absent"), "key", *more)
+    left = join_small(mark(named, "row"), mark(away), keys, "left_anti", 56, "away")
+    back = lambda d: d.select(*[F.col("row")[c].alias(c) for c in df.columns])
     # rows with one id and one text: only where there are some are they told apart
     twice = rows.filter("ck IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    twice = twice.select(mark[0](F.col("doc_id")).alias("__i"), mark[1](F.col("doc_id")).alias("__null"), F.col("key").alias("__key"))
-    twice = written(twice, "repeated-rows")
+    twice = written(mark(twice), "repeated-rows")
     if twice.isEmpty():
-        return left.select(*df.columns)
-    keys = ["__i", "__null", "__key"]
-    single = left.join(twice, keys, "left_anti").select(*df.columns)
-    return single.unionByName(left.join(twice, keys, "left_semi").dropDuplicates(keys).select(*df.columns))
+        return back(left)
+    single = left.join(twice, keys, "left_anti")
+    # the first one met of equal rows: a map column allows no order
+    return back(single).unionByName(back(left.join(twice, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row"))))

@@ -114,3 +114,28 @@ def test_recall_by_length(n):
             found += i in got
             assert set(got) <= {i} and all(m[1] == levenshtein_in(w, text[m[2] : m[2] + m[3]]) <= D.max_edits(n) for m in got.values())
     assert found / total >= D.TARGET, found / total
+
+
+def test_short_items_are_matched_by_whole_lines(spark):
+    items = [(1, "red blue green old"), (2, "Yes"), (3, "a b\nc"), (4, ""), (5, " yes "), (6, "one two three four five")]
+    bench = D.Benchmark(items)
+    name = lambda t: sorted((bench.items[i][0], e, s, n) for i, e, s, n in bench.matches(t))
+    assert name("red blue green old") == [(1, 0, 0, 4)] and name("x\n  Red  blue green OLD\ny") == [(1, 0, 1, 4)]
+    assert name("so red blue green old it is") == [] and name("yes it is") == [] and name("q\nYES\nz") == [(2, 0, 1, 1), (5, 0, 1, 1)]
+    assert name("a b c") == [(3, 0, 0, 3)] == name("a\nb c") and name("a\nb c\nd e f") == [] and name("the one two three four five") == [(6, 0, 1, 5)]
+    docs = spark.createDataFrame([(1, "yes"), (2, "no\nyes"), (3, "oh yes"), (4, None), (5, "I say one two three four five")], "doc_id long, text string")
+    for block in (2, 100):
+        got = D.find_items(docs, spark.createDataFrame(items, "item_id long, text string"), block=block)
+        assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 2), (1, 5), (2, 2), (2, 5), (5, 6)]
+        assert sorted(r["doc_id"] for r in D.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string"), block=block).collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 12, 40])
+def test_the_sieve_loses_no_match(n):
+    items = [(i, " ".join(passage(n))) for i in range(30)]
+    bench, sieve = D.Benchmark(items), D.Sieve(20)
+    sieve.add(bench)
+    for _, t in items:
+        text = " ".join(passage(30) + edited(t.split(), D.max_edits(n)) + passage(30))
+        assert sieve.holds(text) or not bench.matches(text)
+    assert sum(sieve.holds(" ".join(passage(60))) for _ in range(50)) < 15 and not sieve.holds(None)
