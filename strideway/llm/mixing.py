@@ -43,7 +43,7 @@ SYMBOLS = "!%*$&#@~=^<>|?"
 #: Labelled rows a domain that the classifier is fitted on, in expectation.
 TRAIN_DOCS = 3000
 #: Gradient steps of the classifier and its ridge.
-FIT_STEPS, RIDGE = 300, 1e-4
+FIT_STEPS, RIDGE = 200, 1e-4
 #: Least squares ends at misses of TOLERANCE of the total, or after ITERATIONS.
 ITERATIONS, MOMENTUM, TOLERANCE = 24, 0.6, 1e-3
 
@@ -69,14 +69,14 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _shape(text: Column, words: Column) -> list[Column]:
+def _shape(text: Column, words: Column, own: Column) -> list[Column]:
     """Features of form: each doubled symbol that occurs (else null), the share of repeated words and that of words equal to the one before, in LEVELS levels.
 
     No word contains a blank, as these do.
     """
     level = lambda part: F.least(F.floor(F.lit(LEVELS) * part / F.greatest(F.size(words), F.lit(1))), F.lit(LEVELS - 1)).cast("string")
     echoes = F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1)))
-    levels = [F.concat(F.lit("repeats "), level(F.size(words) - F.size(F.array_distinct(words)))), F.concat(F.lit("echoes "), level(echoes))]
+    levels = [F.concat(F.lit("repeats "), level(F.size(words) - F.size(own))), F.concat(F.lit("echoes "), level(echoes))]
     return [*[F.when(F.contains(text, F.lit(2 * x)), F.lit(f"has {2 * x}")) for x in SYMBOLS], *levels]
 
 
@@ -95,13 +95,19 @@ def _families(own: Column, stems: list[str] | None) -> Column:
     return F.get(F.transform(F.array(ordered), families), F.lit(0))
 
 
-def _features(text: Column, words: Column, chosen: list[str] | None) -> Column:
-    """Distinct features of a text: its words (of the chosen ones, if given), its stems and its form."""
-    own = F.array_distinct(words)
+def _worded(df: DataFrame, *cols: Column) -> DataFrame:
+    """cols with the words of column text (w) and the distinct ones (own): columns, as each is used more than once."""
+    return df.select(*cols, "text", _words(F.col("text")).alias("w")).withColumn("own", F.array_distinct("w"))
+
+
+def _features(chosen: list[str] | None) -> Column:
+    """Distinct features of a _worded text: its words (of the chosen ones, if given), its stems and its form."""
+    text, words, own = F.col("text"), F.col("w"), F.col("own")
+    form = F.array_compact(F.array(*_shape(text, words, own)))
     if chosen is None:
-        return F.concat(own, _families(own, None), F.array_compact(F.array(*_shape(text, words))))
+        return F.concat(own, _families(own, None), form)
     names = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>")
-    parts = [words, F.array_compact(F.array(*_shape(text, words)))]
+    parts = [own, form]
     if stems := sorted({c.split(" ", 2)[2] for c in chosen if c.startswith("stem ")}):
         parts.append(_families(own, stems))
     return F.array_intersect(F.concat(*parts), names)
@@ -114,7 +120,7 @@ def _domain(quality: Column, toxic: Column) -> Column:
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = FIT_STEPS, ridge: float = RIDGE) -> np.ndarray:
     """Weights (columns of x by columns of y) of the multinomial logistic regression, by accelerated gradient steps."""
     weight = (weight / weight.sum())[:, None]
-    bound = 0.5 * np.linalg.norm(x * np.sqrt(weight), 2) ** 2 + ridge
+    bound = 0.5 * float(np.linalg.eigvalsh(x.T @ (x * weight))[-1]) + ridge
     now = ahead = np.zeros((x.shape[1], y.shape[1]))
     for k in range(steps):
         z = x @ ahead
@@ -137,9 +143,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, train_docs
     few = lambda h, n: F.pmod(h, F.lit(1_000_003)) < 1_000_003 * F.create_map(*[x for d, m in sorted(n.items()) for x in (F.lit(d), F.lit(min(1.0, train_docs / m)))])[F.col("d")]
     some = marks.filter(few(F.xxhash64("id"), sizes))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = join_small(texts, some, ["id"], "inner", 24, "labels").withColumn("w", _words(F.col("text")))
+    known = join_small(texts, some, ["id"], "inner", 24, "labels")
     # equal documents of a domain are one row with a count
-    known = written(known.select("d", _features(F.col("text"), F.col("w"), None).alias("f")).groupBy("d", "f").agg(F.count("*").alias("n")), "features")
+    known = written(_worded(known, F.col("d")).select("d", _features(None).alias("f")).groupBy("d", "f").agg(F.count("*").alias("n")), "features")
     docs = {r["d"]: r for r in known.groupBy("d").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect()}
     live = sorted(docs)
     if not live:
@@ -171,12 +177,13 @@ def posteriors(df: DataFrame, model: Model, text: Column) -> DataFrame:
     k, text = len(DOMAINS), F.coalesce(text, F.lit(""))
     chosen = sorted(model.weights)
     names = F.array(*[F.lit(c) for c in chosen]) if chosen else F.array().cast("array<string>")
-    out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text.alias("text"), _words(text).alias("w"))
-    out = out.select("row", F.size("w").cast("long").alias("n_tokens"), F.transform(_features(F.col("text"), F.col("w"), chosen), lambda f: F.array_position(names, f).cast("int")).alias("at"))
-    for d in range(k):
-        table = "array(" + ",".join(f"{model.weights[f][d]:.6f}D" for f in chosen) + ")" if chosen else "array(0D)"
-        score = F.lit(float(model.bias[d])) + F.expr(f"aggregate(at, 0D, (s, i) -> s + get({table}, i - 1))")
-        out = out.withColumn(f"s{d}", F.when(F.col("n_tokens") > 0, score).otherwise(F.lit(float(model.prior[d]))))
+    out = _worded(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text.alias("text")), F.col("row"))
+    out = out.select("row", F.size("w").cast("long").alias("n_tokens"), F.transform(_features(chosen), lambda f: F.array_position(names, f).cast("int")).alias("at"))
+    tables = ["array(" + ",".join(f"{model.weights[f][d]:.6f}D" for f in chosen) + ")" if chosen else "array(0D)" for d in range(k)]
+    start = ", ".join(f"{float(model.bias[d])!r}D AS s{d}" for d in range(k))
+    step = ", ".join(f"s.s{d} + get({tables[d]}, i - 1) AS s{d}" for d in range(k))
+    out = out.withColumn("s", F.expr(f"aggregate(at, struct({start}), (s, i) -> struct({step}))"))
+    out = out.select("row", "n_tokens", *[F.when(F.col("n_tokens") > 0, F.col("s")[f"s{d}"]).otherwise(F.lit(float(model.prior[d]))).alias(f"s{d}") for d in range(k)])
     # a domain without labelled rows has its small prior for any text; without any labels all are alike
     live = model.live or list(range(k))
     top = F.greatest(*[F.col(f"s{d}") for d in live]) if len(live) > 1 else F.col(f"s{live[0]}")

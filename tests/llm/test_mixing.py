@@ -121,7 +121,7 @@ def brute_features(t):
 def test_features_and_posteriors_against_brute_force(spark):
     texts = ["", "One one. two, two", "achlicha achlichb achlichc x", "a!!b $$ " * 5, "w " * 99, *[text(k % 3) for k in range(40)]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r["doc_id"]: set(r["f"]) for r in df.select("doc_id", M._features(F.col("text"), M._words(F.col("text")), None).alias("f")).collect()}
+    rows = {r["doc_id"]: set(r["f"]) for r in M._worded(df, F.col("doc_id")).select("doc_id", M._features(None).alias("f")).collect()}
     assert all(rows[i] == brute_features(t) for i, t in enumerate(texts))
     labels = spark.createDataFrame([(i, int(i % 3 != 2), int(i % 3 == 1)) for i in range(5, 45)], "doc_id long, quality int, toxic int")
     model = M.fit(df, labels, "doc_id", "text")
