@@ -5,17 +5,40 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; only where that is unset, in a local one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of spark.checkpoint.dir; only where it is unset and there is one machine, a local one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="strideway-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="strideway-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, key: list[Column], to: str, within: str | None = None, buckets: int = 4096) -> DataFrame:
+    """df with column `to`: 0, 1, .. in a reproducible order of the key (per value of column `within`), without a global sort: rows are numbered in buckets of
+    the key's hash, and a table of one count a bucket gives the buckets' offsets. Rows of equal keys take consecutive numbers."""
+    own = [within] if within else []
+    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    counts = rows.groupBy(*own, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*own).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*own, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    inner = F.row_number().over(Window.partitionBy(*own, "__bucket").orderBy(*key)) - 1
+    return rows.withColumn("__i", inner).join(offsets, [*own, "__bucket"]).withColumn(to, F.col("__o") + F.col("__i")).select(*df.columns, to)
+
+
 def frontier(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
     """All rows of start and of step(frontier, all so far), step after step, until a step adds none or limit steps were made."""
     seen = now = cut(start)

@@ -72,7 +72,13 @@ class PathSet:
 
     def path_lengths(self) -> DataFrame:
         """(k, sub, longest) by length."""
-        return self.stats().groupBy("k").agg(F.sum("sub").alias("sub"), F.sum("longest").alias("longest"))
+        # a path of n nodes holds n - k grams of k edges, so none of them is listed
+        n = F.size("path")
+        top = n - 2 if self.cap is None else F.least(n - 2, F.lit(self.cap))
+        ks = F.when(top >= 0, F.sequence(F.lit(0), top)).otherwise(F.array().cast("array<int>"))
+        subs = self.longest.select("freq", n.alias("n"), F.explode(ks).alias("k")).select("k", (F.col("freq") * (F.col("n") - F.col("k"))).alias("sub"), F.lit(0.0).alias("longest"))
+        whole = self.longest.select((n - 1).alias("k"), F.lit(0.0).alias("sub"), F.col("freq").alias("longest"))
+        return subs.unionByName(whole.filter("k >= 0")).groupBy("k").agg(F.sum("sub").alias("sub"), F.sum("longest").alias("longest"))
 
     def unique_paths(self, length: int = 0, longer: bool = True) -> DataFrame:
         k = F.size("path") - 1

@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from strideway.operators.graph import Graph
+from strideway.operators.iterate import numbered
 
 
 #: Ranges of time, a bound on the tables that are ordered as a whole.
@@ -122,6 +123,6 @@ class TemporalEdges:
         for s in window_splits or []:
             part = part + (F.col("t") >= s).cast("int")
         e = self.edges.withColumn("__w", part)
-        order = lambda salt: F.row_number().over(Window.partitionBy("__w").orderBy(F.xxhash64(F.lit(seed), F.lit(salt), "src", "dst", "t", "seq"), "src", "dst", "t", "seq"))
-        times = e.select("__w", F.col("t").alias("new"), order("t").alias("__n"))
-        return TemporalEdges(e.withColumn("__n", order("e")).join(times, ["__w", "__n"]).select("src", "dst", F.col("new").alias("t"), "seq"))
+        key = lambda salt: [F.xxhash64(F.lit(seed), F.lit(salt), "src", "dst", "t", "seq"), *map(F.col, ("src", "dst", "t", "seq"))]
+        times = numbered(e, key("t"), "__n", "__w").select("__w", F.col("t").alias("new"), "__n")
+        return TemporalEdges(numbered(e, key("e"), "__n", "__w").join(times, ["__w", "__n"]).select("src", "dst", F.col("new").alias("t"), "seq"))

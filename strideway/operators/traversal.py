@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,9 +64,30 @@ def betweenness(edges: DataFrame, normalized: bool = False) -> DataFrame:
     """(node, value): for each ordered pair the share of shortest paths through a node."""
     from strideway.operators.paths import filled
 
-    p = all_shortest_paths(edges).withColumn("m", F.count("*").over(Window.partitionBy("src", "dst"))).filter(F.size("path") > 2)
-    inner = p.select("m", F.explode(F.slice("path", 2, F.size("path") - 2)).alias("node"))
-    return filled(inner.groupBy("node").agg(F.sum(1.0 / F.col("m")).alias("value")), nodes_of(edges), normalized)
+    e = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).filter("at <> to").distinct())
+    start = nodes_of(edges).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("dist"), F.lit(1.0).alias("ways"))
+
+    def step(now: DataFrame, seen: DataFrame) -> DataFrame:
+        new = now.join(e, F.col("dst") == F.col("at")).groupBy("src", F.col("to").alias("dst"), (F.col("dist") + 1).alias("dist")).agg(F.sum("ways").alias("ways"))
+        return new.join(seen.select("src", "dst"), ["src", "dst"], "left_anti")
+
+    # shortest paths are counted forwards, and the shares of the pairs behind a node are added up backwards, level by level: no path is listed
+    pairs = cut(frontier(start, step))
+    top = pairs.agg(F.max("dist")).first()[0] or 0
+    below, parts = None, []
+    for level in range(top, 0, -1):
+        here = pairs.filter(F.col("dist") == level)
+        if below is None:
+            here = here.withColumn("share", F.lit(0.0))
+        else:
+            arcs = here.select("src", F.col("dst").alias("v"), F.col("ways").alias("mine")).join(e, F.col("v") == F.col("at"))
+            got = arcs.join(below.select("src", F.col("dst").alias("to"), "ways", "share"), ["src", "to"]).groupBy("src", F.col("v").alias("dst")).agg(F.sum(F.col("mine") / F.col("ways") * (1 + F.col("share"))).alias("share"))
+            here = here.join(got, ["src", "dst"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        below = cut(here.select("src", "dst", "ways", "share"))
+        parts.append(below.select(F.col("dst").alias("node"), "share"))
+    if not parts:
+        return filled(nodes_of(edges).select("node", F.lit(0.0).alias("value")), nodes_of(edges), normalized)
+    return filled(reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("share").alias("value")), nodes_of(edges), normalized)
 
 
 def closeness(edges: DataFrame, normalized: bool = False) -> DataFrame:
