@@ -240,15 +240,17 @@ def _digit(pieces: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     left = written(pieces.join(shared, "g", "left_semi"), "open-pieces")
     discard(pieces)
     same = ["g", "span", "o_lo", "o_hi"]
-    groups = written(_counted(left, same, *[F.first(c).alias(c) for c in ("k1", "k2", "p", "solo")]), "piece-groups")
+    member = F.struct("k1", "k2", "p")
+    groups = written(_counted(left, same, *[F.first(c).alias(c) for c in ("k1", "k2", "p", "solo")], F.min(member).alias("one"), F.max(member).alias("other")), "piece-groups")
     done = left.filter("solo").join(groups.filter(_repeated(unit)).select(*same), same, "left_semi").select(*key, *_bounds(unit))
     piece = lambda solo: F.struct("g", "p", "o_lo", "o_hi", solo.alias("solo")).alias("x")
     if unit.across:
-        # pieces that only their own text repeats go on one by one; of the others one member a group
+        # pieces that only their own text repeats go on one by one; of the others a member from each of two texts, so that a piece of either meets another text
         alone = left.join(groups.filter(~_repeated(unit)).select(*same), same, "left_semi")
         wanted = alone.filter("solo").select("g").distinct()
-        todo = alone.select("g", *key, piece(F.col("solo"))).distinct().unionByName(groups.filter(_repeated(unit)).select("g", *key, piece(F.lit(False))))
-        todo = todo.join(wanted, "g", "left_semi").select(*key, "x")
+        todo = alone.select("g", *key, piece(F.col("solo"))).distinct()
+        two = groups.filter(_repeated(unit)).select("g", "o_lo", "o_hi", F.explode(F.array("one", "other")).alias("m")).select("g", "m.k1", "m.k2", "m.p", "o_lo", "o_hi")
+        todo = todo.unionByName(two.select("g", *key, piece(F.lit(False)))).join(wanted, "g", "left_semi").select(*key, "x")
     else:
         # one member of each group of equal pieces goes on, where the core has a piece of its own
         lone = (F.col("n") == 1) & F.col("solo")

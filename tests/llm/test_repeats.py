@@ -101,6 +101,9 @@ def shared_corpus():
         same = text(n)
         out += [f"{text(3)} {same} {text(4)}", f"{text(60)} {same}"]
     out += [out[-1], f"{hot} {hot} {hot}"]
+    # the same words over and over, in stretches of many lengths that texts share in part
+    for _ in range(25):
+        out.append(" ".join(" ".join([rng.choice("pqrst")] * rng.choice([30, 49, 50, 51, 57, 64, 90])) for _ in range(rng.randint(2, 9))))
     return out
 
 
