@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if conf:
         return conf.rstrip("/")
     if not (own := spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strideway-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
