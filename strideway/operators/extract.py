@@ -148,7 +148,7 @@ def causal_paths(tempnet: TemporalEdges, delta: int = 1, roots: DataFrame | None
         best = F.min("path").over(Window.partitionBy("root", "v", "depth"))
         return grown.withColumn("path", F.concat(best, F.array("v"))).distinct()
 
-    rows = frontier(first, step, guard).select("root", "path").distinct()
+    rows = frontier(first, step, guard, True).select("root", "path").distinct()
     goes_on = rows.filter(F.size("path") > 1).select("root", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct()
     leaves = rows.join(goes_on, ["root", "path"], "left_anti")
     return PathSet.collect_equal(leaves.select(grams.remove_repeats("path").alias("path"), F.lit(1.0).alias("freq")))
@@ -165,7 +165,7 @@ def causal_tree(tempnet: TemporalEdges, node: str, t: int, delta: int = 1, guard
         grown = near.select(F.col("v0").alias("parent"), F.col("w").alias("v"), F.col("tw").alias("t"), (F.col("depth") + 1).alias("depth"))
         return grown.withColumn("parent", F.min("parent").over(Window.partitionBy("v", "depth"))).distinct()
 
-    rows = frontier(start, step, guard).filter("parent IS NOT NULL")
+    rows = frontier(start, step, guard, True).filter("parent IS NOT NULL")
     return rows.select("parent", (F.col("depth") - 1).alias("parent_depth"), F.col("v").alias("node"), "depth").distinct()
 
 
@@ -206,7 +206,7 @@ def single_continuation_paths(tempnet: TemporalEdges, delta: int = 1, guard: int
     follow = nx.select(F.col("id").alias("at"), F.col("dst").alias("to"), F.col("next").alias("then"), F.col("t").alias("when"))
     begins = nx.join(nx.select(F.col("next").alias("id")).filter("id IS NOT NULL").distinct(), "id", "left_anti")
     start = begins.select(F.array("src", "dst").alias("path"), F.array("t").alias("times"), "next")
-    rows = frontier(start, lambda now, _: now.filter("next IS NOT NULL").join(follow, F.col("next") == F.col("at")).select(F.concat("path", F.array("to")).alias("path"), F.concat("times", F.array("when")).alias("times"), F.col("then").alias("next")), guard)
+    rows = frontier(start, lambda now, _: now.filter("next IS NOT NULL").join(follow, F.col("next") == F.col("at")).select(F.concat("path", F.array("to")).alias("path"), F.concat("times", F.array("when")).alias("times"), F.col("then").alias("next")), guard, True)
     # equal node sequences at equal times are one path
     whole = rows.filter("next IS NULL").select("path", "times").distinct()
     return PathSet.collect_equal(whole.select("path", F.lit(1.0).alias("freq")))

@@ -39,8 +39,8 @@ def numbered(df: DataFrame, key: list[Column], to: str, within: str | None = Non
     return rows.withColumn("__i", inner).join(offsets, [*own, "__bucket"]).withColumn(to, F.col("__o") + F.col("__i")).select(*df.columns, to)
 
 
-def frontier(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
-    """All rows of start and of step(frontier, all so far), step after step, until a step adds none or limit steps were made."""
+def frontier(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], limit: int | None = None, strict: bool = False) -> DataFrame:
+    """All rows of start and of step(frontier, all so far), step after step, until a step adds none or limit steps were made; strict: then rows left to go on from are an error."""
     seen = now = cut(start)
     done = 0
     while limit is None or done < limit:
@@ -49,4 +49,7 @@ def frontier(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]
         if now.isEmpty():
             break
         seen = cut(seen.unionByName(now)) if done % 4 == 0 else seen.unionByName(now)
+    else:
+        if strict and not cut(step(now, seen)).isEmpty():
+            raise ValueError(f"not over after {limit} steps: raise the guard")
     return seen

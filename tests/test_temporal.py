@@ -101,3 +101,10 @@ def test_trees_and_temporal_walks(spark):
     starts = spark.createDataFrame([(1, "a"), (2, "z")], "walker long, node string")
     got = {r["walker"]: r["path"] for r in extract.temporal_walks(n, starts, 3, seed=1).collect()}
     assert got[2] == ["z"] and got[1][:2] == ["a", "b"] and len(got[1]) <= 4
+
+
+def test_a_guard_that_ends_a_walk_is_an_error(spark):
+    chain = TemporalEdges.of(spark, [(str(k), str(k + 1), k) for k in range(6)])
+    assert extract.causal_paths(chain, 1, guard=10).longest.count() == 1
+    with pytest.raises(ValueError):
+        extract.causal_paths(chain, 1, guard=2)
