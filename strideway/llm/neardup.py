@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideway.llm.common import U64, Powers, join_small, mix64, prefix_hash, slices, written
-from strideway.llm.components import components
+from strideway.llm.components import stars
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -183,8 +183,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "text_a", "b", "text_b").mapInArrow(_verify, "a binary, b binary")
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between keys of different texts; they connect all that are linked by similarity in any bucket."""
+def linked(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Stars (a, b) of the keys of different texts that are connected by similarity in any bucket; b is the least key."""
     nodes = sketches.filter("bands IS NOT NULL").groupBy("key").agg(F.first("bands").alias("bands"))
     banded = written(nodes.select("key", F.explode("bands").alias("h")), "bands")
     buckets = banded.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
@@ -192,7 +192,7 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     keys = members.select("key").distinct()
     texts = join_small(docs.select("key", "text"), keys, ["key"], "left_semi", 40, "candidates")
     texts = written(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
-    found, tested = None, members.filter("false").select("h", "rank")
+    comps, tested = None, members.filter("false").select("h", "rank")
     grouped = members.withColumn("comp", F.col("key"))
     for _ in range(LEADERS):
         # a leader that no earlier round of its bucket had, outside the component of the first one
@@ -202,28 +202,29 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
         pairs = grouped.join(named, "h").filter("comp <> comp_a").select("a", F.col("key").alias("b")).distinct()
         new = written(_verified(pairs, texts), "links")
         tested = tested.unionByName(named.select("h", F.col("lead").alias("rank")))
-        found = new if found is None else found.unionByName(new)
-        comps = components(found)
-        grouped = join_small(members, comps.withColumnRenamed("node", "key"), ["key"], "left", 56, "bucket-components").withColumn("comp", F.coalesce("component", "key")).drop("component")
+        # earlier stars stand for the links that made them
+        comps = stars(new if comps is None else comps.unionByName(new))
+        named = comps.select(F.col("a").alias("key"), F.col("b").alias("component"))
+        grouped = join_small(members, named, ["key"], "left", 56, "bucket-components").withColumn("comp", F.coalesce("component", "key")).drop("component")
         sizes = grouped.groupBy("h").agg(F.min(F.xxhash64("comp")).alias("c1"), F.max(F.xxhash64("comp")).alias("c2"))
         active = sizes.filter("c1 <> c2").select("h")
         grouped = written(join_small(grouped, active, ["h"], "left_semi", 24, "active"), "active-members")
         if grouped.isEmpty():
-            return found
+            return comps
         tested = written(tested, "tested")
     # the rest, exactly: members outside the component that is met first, against all of other components
     first = grouped.groupBy("h").agg(F.min("rank").alias("lead"))
     major = grouped.join(first, "h").filter("rank = lead").select("h", F.col("comp").alias("major"))
     minors = grouped.join(major, "h").filter("comp <> major").select("h", F.col("key").alias("a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
     rest = minors.join(grouped, "h").filter("comp <> comp_a").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-    return found.unionByName(written(_verified(rest, texts), "links"))
+    return stars(comps.unionByName(written(_verified(rest, texts), "links")))
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, key, class key; classes of two or more rows: class key, least id, size)."""
     docs = _keyed(df, id_col, text_col)
     sketches = written(docs.select("doc_id", "key", "text").mapInArrow(_sketches, "doc_id long, key binary, bands array<long>"), "sketches")
-    comps = components(links(docs, sketches)).select(F.col("node").alias("key"), F.col("component").alias("ck"))
+    comps = linked(docs, sketches).select(F.col("a").alias("key"), F.col("b").alias("ck"))
     plain = sketches.select("doc_id", "key", F.col("bands").isNotNull().alias("some"))
     rows = join_small(plain, comps, ["key"], "left", 56, "classes").select("doc_id", "key", F.when(F.col("some"), F.coalesce("ck", "key")).alias("ck"))
     sizes = rows.filter("ck IS NOT NULL").groupBy("ck").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1")

@@ -120,3 +120,27 @@ def test_components(spark):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """The tables that rounds of components write, as they are written."""
+    from strideway.llm import components as C
+
+    names = []
+    monkeypatch.setattr(C, "written", lambda df, name, own=C.written: names.append(name) or own(df, name))
+    return names
+
+
+def test_components_end_without_a_round_that_changes_nothing(spark, rounds):
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([(7, 3), (3, 9), (5, 5), (12, 11)], "a long, b long")).collect()}
+    assert got == {3: 3, 7: 3, 9: 3, 11: 11, 12: 11} and len(rounds) == 1
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0 and len(rounds) == 2
+
+
+def test_classes_come_from_the_last_components(spark, rounds):
+    """One leader round links all; its components are not computed again for the classes."""
+    t = "one two three four five six seven eight nine ten"
+    rows = [(k, t + " " * k) for k in range(6)] + [(10, "lone words that no other text has"), (11, None)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 10: 10, 11: 11} and 1 <= len(rounds) <= 2
