@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strideway.operators.iterate import cut
 from strideway.operators.paths import PathSet, PathsTooShort
 
 START = "start"
@@ -100,11 +101,11 @@ class HigherOrderNetwork:
         if assumption == "ngrams":
             s = self.paths.nodes().count()
             return s**self.k * (s - 1)
-        first = self.paths.edges().select("src", "dst").distinct()
-        many = count_walks(first, self.k).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
-        # contexts that go on: walks of k - 1 edges that end where an edge starts
-        ends = count_walks(first, self.k - 1).join(first.select(F.col("src").alias("v")).distinct(), "v", "left_semi")
-        return int(many - ends.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
+        first = cut(self.paths.edges().select("src", "dst").distinct())
+        # a walk of k - 1 edges that ends where d > 0 edges start is a context of d walks of k edges, d - 1 of them free
+        go = first.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
+        free = count_walks(first, self.k - 1).join(go, "v").agg(F.coalesce(F.sum(F.col("n") * (F.col("d") - 1)), F.lit(0.0)))
+        return int(free.first()[0])
 
     def log_likelihood(self, paths: PathSet | None = None) -> float:
         """Of the order-k steps of all paths of k edges or more; steps before the k-th node say nothing."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,14 +15,15 @@ from strideway.operators.paths import PathSet
 
 
 class MultiOrderModel:
-    """trans: (k, gram, cnt, p) of all orders up to max_order in one table, from one pass over the grams."""
+    """trans: (k, gram, cnt, p) of all orders up to max_order in one table, from one pass over the grams. The paths are made once and kept."""
 
     def __init__(self, paths: PathSet, max_order: int = 1) -> None:
-        self.paths, self.max_order = paths, max_order
-        s = paths.stats(0, max_order).select("k", F.col("path").alias("gram"), (F.col("sub") + F.col("longest")).alias("cnt")).filter("cnt > 0")
+        self.paths, self.max_order = paths.kept(), max_order
+        s = self.paths.stats(0, max_order).select("k", F.col("path").alias("gram"), (F.col("sub") + F.col("longest")).alias("cnt")).filter("cnt > 0")
         context = F.slice("gram", 1, F.col("k"))
         self.trans = cut(s.withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("k", context))))
         self._dof: dict[tuple[int, str], int] = {}
+        self._own: dict[tuple[int, bool, int], tuple[float, float]] = {}
 
     def add_layers(self, max_order: int) -> MultiOrderModel:
         return self if max_order <= self.max_order else MultiOrderModel(self.paths, max_order)
@@ -30,54 +31,75 @@ class MultiOrderModel:
     def layer(self, k: int) -> HigherOrderNetwork:
         return HigherOrderNetwork(self.paths, k)
 
-    def path_likelihoods(self, paths: PathSet, layer: int, min_len: int = 0, max_len: int | None = None) -> DataFrame:
-        """(path, freq, ll): log likelihood of one traversal; up to the layer's order each node has the context there is."""
+    @staticmethod
+    def _rows(paths: PathSet, min_len: int, max_len: int | None) -> DataFrame:
         size = F.size("path")
-        rows = paths.longest.filter((size - 1 >= min_len) if max_len is None else (size - 1).between(min_len, max_len)).filter("freq > 0")
-        at = F.sequence(F.lit(1), size)
-        gram = lambda j: F.slice("path", j - F.least(j - 1, F.lit(layer)), F.least(j, F.lit(layer + 1)))
-        steps = rows.select("path", "freq", F.explode(F.transform(at, gram)).alias("gram"))
-        # the lookup table is as large as the model, so the join is left to AQE; a step that the model lacks fails
-        t = self.trans.select("gram", "p")
-        known = steps.join(t, "gram", "left").withColumn("p", F.coalesce("p", F.raise_error(F.concat(F.lit("no transition for "), F.array_join("gram", ","))).cast("double")))
-        return known.groupBy("path", "freq").agg(F.sum(F.log("p")).alias("ll"))
+        return paths.longest.filter((size - 1 >= min_len) if max_len is None else (size - 1).between(min_len, max_len)).filter("freq > 0")
+
+    @staticmethod
+    def _grams(layer: int) -> Column:
+        """The gram of each step of a path; up to the layer's order each node has the context there is."""
+        at = F.sequence(F.lit(1), F.size("path"))
+        return F.transform(at, lambda j: F.slice("path", j - F.least(j - 1, F.lit(layer)), F.least(j, F.lit(layer + 1))))
+
+    def _known(self, steps: DataFrame) -> DataFrame:
+        """steps with p of their gram. The lookup table is as large as the model, so the join is left to AQE; a step that the model lacks fails."""
+        missing = F.raise_error(F.concat(F.lit("no transition for "), F.array_join("gram", ","))).cast("double")
+        return steps.join(self.trans.select("gram", "p"), "gram", "left").withColumn("p", F.coalesce("p", missing))
+
+    def path_likelihoods(self, paths: PathSet, layer: int, min_len: int = 0, max_len: int | None = None) -> DataFrame:
+        """(path, freq, ll): log likelihood of one traversal."""
+        steps = self._rows(paths, min_len, max_len).select("path", "freq", F.explode(self._grams(layer)).alias("gram"))
+        return self._known(steps).groupBy("path", "freq").agg(F.sum(F.log("p")).alias("ll"))
+
+    def _sums(self, paths: PathSet, layer: int, min_len: int = 0, max_len: int | None = None, by: tuple[Column, ...] = ()) -> DataFrame:
+        """(.., ll, n): log likelihood of all traversals and their number. Equal grams are counted before they are looked up, so no step is shuffled and none carries its path."""
+        names = [f"__by{i}" for i in range(len(by))]
+        rows = self._rows(paths, min_len, max_len)
+        steps = rows.select(*[c.alias(x) for c, x in zip(by, names)], "freq", F.posexplode(self._grams(layer)).alias("at", "gram"))
+        counts = steps.groupBy(*names, "gram").agg(F.sum("freq").alias("taken"), F.sum(F.when(F.col("at") == 0, F.col("freq")).otherwise(0.0)).alias("starts"))
+        return self._known(counts).groupBy(*names).agg(F.coalesce(F.sum(F.col("taken") * F.log("p")), F.lit(0.0)).alias("ll"), F.coalesce(F.sum("starts"), F.lit(0.0)).alias("n"))
 
     def layer_likelihood(self, paths: PathSet | None = None, layer: int = 1, longer: bool = True, min_len: int | None = None) -> tuple[float, float]:
         """(log likelihood, path observations) of paths of the layer's length or more, or of min_len or more."""
         low = layer if min_len is None else min_len
-        r = self.path_likelihoods(paths or self.paths, layer, low, None if longer else layer)
-        got = r.agg(F.coalesce(F.sum(F.col("ll") * F.col("freq")), F.lit(0.0)), F.coalesce(F.sum("freq"), F.lit(0.0))).first()
-        return got[0], got[1]
+        if paths is None and (layer, longer, low) in self._own:
+            return self._own[layer, longer, low]
+        got = self._sums(paths or self.paths, layer, low, None if longer else layer).first()
+        if paths is None:
+            self._own[layer, longer, low] = got["ll"], got["n"]
+        return got["ll"], got["n"]
 
     def likelihood_terms(self, paths: PathSet | None = None) -> DataFrame:
         """(length, layer, ll): log likelihoods of paths by length, at their own layer and at the top one."""
-        out = None
+        out, p = None, paths.kept() if paths else self.paths
         for layer in range(self.max_order + 1):
-            r = self.path_likelihoods(paths or self.paths, layer).groupBy((F.size("path") - 1).alias("length")).agg(F.sum(F.col("ll") * F.col("freq")).alias("ll")).withColumn("layer", F.lit(layer))
+            r = self._sums(p, layer, by=(F.size("path") - 1,)).select(F.col("__by0").alias("length"), "ll", F.lit(layer).alias("layer"))
             out = r if out is None else out.unionByName(r)
         return out
 
     def likelihood(self, paths: PathSet | None = None, max_order: int | None = None) -> float:
-        """Log likelihood: paths of k < K edges at layer k, all others at layer K."""
-        top = self.max_order if max_order is None else max_order
-        p = paths or self.paths
-        return sum(self.layer_likelihood(p, k, longer=False)[0] for k in range(top)) + self.layer_likelihood(p, top)[0]
+        """Log likelihood: paths of k < K edges at layer k, all others at layer K. A path of k < K edges has the same grams at layers k and K, so one pass at layer K does."""
+        return self.layer_likelihood(paths, self.max_order if max_order is None else max_order, min_len=0)[0]
+
+    def _layer_dof(self, k: int, assumption: str) -> int:
+        if (k, assumption) not in self._dof:
+            self._dof[k, assumption] = HigherOrderNetwork(self.paths, k).degrees_of_freedom(assumption)
+        return self._dof[k, assumption]
 
     def degrees_of_freedom(self, max_order: int | None = None, assumption: str = "paths") -> int:
-        top = self.max_order if max_order is None else max_order
-        for k in range(top + 1):
-            if (k, assumption) not in self._dof:
-                self._dof[k, assumption] = HigherOrderNetwork(self.paths, k).degrees_of_freedom(assumption)
-        return sum(self._dof[k, assumption] for k in range(top + 1))
+        return sum(self._layer_dof(k, assumption) for k in range((self.max_order if max_order is None else max_order) + 1))
 
     def likelihood_ratio_test(self, paths: PathSet | None = None, null: int = 0, order: int = 1, assumption: str = "paths", threshold: float = 0.01) -> tuple[bool, float]:
-        x = -2 * (self.likelihood(paths, null) - self.likelihood(paths, order))
-        p = chi2_sf(x, self.degrees_of_freedom(order, assumption) - self.degrees_of_freedom(null, assumption))
+        p = paths.kept() if paths else None
+        x = -2 * (self.likelihood(p, null) - self.likelihood(p, order))
+        # layers up to the null model's are in both
+        p = chi2_sf(x, sum(self._layer_dof(k, assumption) for k in range(null + 1, order + 1)))
         return p < threshold, p
 
     def estimate_order(self, paths: PathSet | None = None, stop: int | None = None, threshold: float = 0.01) -> int:
         """The largest order k >= 2 that is accepted against k - 1, else 1."""
-        model, best = self.add_layers(stop or self.max_order), 1
+        model, best, paths = self.add_layers(stop or self.max_order), 1, paths.kept() if paths else None
         for k in range(2, (stop or self.max_order) + 1):
             if model.likelihood_ratio_test(paths, k - 1, k, threshold=threshold)[0]:
                 best = k
@@ -85,11 +107,9 @@ class MultiOrderModel:
 
     def test_network_hypothesis(self, paths: PathSet | None = None, method: str = "AIC") -> tuple[bool, float, float]:
         """(whether the network topology is worth its parameters, criterion of order 0, of order 1)."""
-        p = paths or self.paths
-        l0, n = self.layer_likelihood(p, 0, min_len=1)
-        l1, _ = self.layer_likelihood(p, 1, min_len=1)
-        d0 = HigherOrderNetwork(self.paths, 0).degrees_of_freedom()
-        d1 = d0 + HigherOrderNetwork(self.paths, 1).degrees_of_freedom("paths")
+        l0, n = self.layer_likelihood(paths, 0, min_len=1)
+        l1, _ = self.layer_likelihood(paths, 1, min_len=1)
+        d0, d1 = self.degrees_of_freedom(0), self.degrees_of_freedom(1)
         if method == "AIC":
             ic = [2 * d - 2 * x for d, x in ((d0, l0), (d1, l1))]
         elif method == "BIC":

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from strideway.functions import grams
 from strideway.functions.times import micros
+from strideway.operators.iterate import cut
 
 SCHEMA = "path array<string>, freq double"
 
@@ -27,6 +28,7 @@ class PathSet:
 
     def __init__(self, longest: DataFrame, separator: str = ",", cap: int | None = None) -> None:
         self.longest, self.separator, self.cap = longest.select("path", F.col("freq").cast("double").alias("freq")), separator, cap
+        self._kept = False
 
     @classmethod
     def of(cls, spark: SparkSession, rows: Iterable[tuple], separator: str = ",", cap: int | None = None) -> PathSet:
@@ -59,6 +61,14 @@ class PathSet:
         rows = events.withColumn("__new", new).withColumn("__session", F.sum("__new").over(w))
         return cls.from_ordered(rows, [key, "__session"], [ts, tie], node, separator, cap)
 
+    def kept(self) -> PathSet:
+        """The same paths, made once and checkpointed, for consumers that read them more than once."""
+        if self._kept:
+            return self
+        out = PathSet(cut(self.longest), self.separator, self.cap)
+        out._kept = True
+        return out
+
     # --- statistics ---------------------------------------------------------------------------------
 
     def stats(self, min_len: int = 0, max_len: int | None = None) -> DataFrame:

@@ -150,7 +150,7 @@ UNION ALL SELECT 1, CAST((SELECT sum(n) FROM w1) - (SELECT count(*) FROM go) AS
 UNION ALL SELECT 2, CAST((SELECT sum(n) FROM w2) - (SELECT sum(n) FROM w1 WHERE v IN (SELECT src FROM go)) AS BIGINT)
 UNION ALL SELECT 3, CAST((SELECT sum(n) FROM w3) - (SELECT sum(n) FROM w2 WHERE v IN (SELECT src FROM go)) AS BIGINT)""")
 def dof_paths_by_order(spark, sf):
-    p = I.sessions(spark, sf)
+    p = I.sessions(spark, sf).kept()
     return spark.createDataFrame([(k, HigherOrderNetwork(p, k).degrees_of_freedom()) for k in range(4)], "k int, dof bigint")
 
 

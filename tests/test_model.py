@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import fixtures as X
 import pytest
 
@@ -57,6 +60,52 @@ def test_likelihood_is_additive(spark):
     assert m.likelihood(a) + m.likelihood(b) == pytest.approx(m.likelihood(a + b))
 
 
+def test_order_selection_makes_its_paths_once(spark):
+    """They were made again for each likelihood and each count of walks."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = X.random_paths(spark, 60, 20, 5).longest
+    m = MultiOrderModel(PathSet(rows.mapInPandas(counted, rows.schema)), 2)
+    m.likelihood_ratio_test(null=1, order=2)
+    m.test_network_hypothesis()
+    m.likelihood_terms().collect()
+    assert made.value == rows.count()
+
+
+def test_likelihoods_and_freedom_are_those_of_listed_steps(spark):
+    p = X.random_paths(spark, 40, 3, 5)
+    m = MultiOrderModel(p, 2)
+    paths = {tuple(r["path"]): r["freq"] for r in p.longest.collect()}
+    grams, contexts = Counter(), Counter()
+    for path, f in paths.items():
+        for k in range(3):
+            for i in range(len(path) - k):
+                grams[path[i : i + k + 1]] += f
+                contexts[path[i : i + k], k] += f
+
+    def ll(path, layer):
+        steps = [path[max(0, j - layer) : j + 1] for j in range(len(path))]
+        return sum(math.log(grams[g] / contexts[g[:-1], len(g) - 1]) for g in steps)
+
+    for top in range(3):
+        assert m.likelihood(max_order=top) == pytest.approx(sum(f * ll(x, min(top, len(x) - 1)) for x, f in paths.items()))
+        assert m.layer_likelihood(layer=top)[1] == sum(f for x, f in paths.items() if len(x) > top)
+        terms = {r["length"]: r["ll"] for r in m.likelihood_terms().filter(f"layer = {top}").collect()}
+        for n in {len(x) for x in paths}:
+            assert terms[n - 1] == pytest.approx(sum(f * ll(x, top) for x, f in paths.items() if len(x) == n))
+    edges = [g for g in grams if len(g) == 2]
+    walks = [[(v,) for v in {v for g in edges for v in g}]]
+    for _ in range(3):
+        walks.append([w + (b,) for w in walks[-1] for a, b in edges if w[-1] == a])
+    for k in range(1, 4):
+        assert Hon(p, k).degrees_of_freedom() == len(walks[k]) - len({w[:-1] for w in walks[k]})
+
+
 def test_centralities_of_order_k(spark):
     p = X.random_paths(spark, 50, 0, 8)
     for k in (1, 2):
